@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from heapq import heapify, heappop, heappush
 
@@ -16,8 +17,6 @@ import regex
 #: White space as the vocabulary's own splitter has it; str.split() also takes the four separators below.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_POSITION_BITS = 32
-_POSITION = (1 << _POSITION_BITS) - 1
 
 
 def byte_alphabet() -> list[str]:
@@ -48,31 +47,34 @@ class WordBpe:
         self.inner = [vocab[c] for c in alphabet]
         self.final = [vocab[c + suffix] for c in alphabet]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank = {vocab[a] << 32 | vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        self.rank: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
+        for r, (a, b) in enumerate(pairs):
+            self.rank[vocab[a]][vocab[b]] = r
         self.made = [vocab[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, list[int]] = {}
 
     def merge(self, word: bytes) -> tuple[list[int], int]:
         """(symbols with -1 where merged away, merges): repeatedly pops the lowest-rank adjacent pair, leftmost first."""
-        n, inner, rank, made = len(word), self.inner, self.rank, self.made
-        ids = [inner[b] for b in word]
+        n, rank, made = len(word), self.rank, self.made
+        ids = [self.inner[b] for b in word]
         ids[-1] = self.final[word[-1]]
-        heap = []
-        for i in range(n - 1):
-            r = rank.get(ids[i] << 32 | ids[i + 1])
-            if r is not None:
-                heap.append(r << _POSITION_BITS | i)
+        bits = 12 if n < 4096 else 40  # a heap entry is rank and place in one integer, small where it can be
+        place, heap, last = (1 << bits) - 1, [], ids[0]
+        for i in range(1, n):
+            x = ids[i]
+            if x in (row := rank[last]):
+                heap.append(row[x] << bits | i - 1)
+            last = x
         if not heap:
             return ids, 0
         heapify(heap)
         after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), 0
         while heap:
             top = heappop(heap)
-            r, i = top >> _POSITION_BITS, top & _POSITION
+            r, i = top >> bits, top & place
             j = after[i]
-            if ids[i] < 0 or j >= n or rank.get(ids[i] << 32 | ids[j]) != r:
+            if ids[i] < 0 or j >= n or rank[ids[i]].get(ids[j]) != r:
                 continue  # stale: one side has since been merged
             new = ids[i] = made[r]
             ids[j] = -1
@@ -80,77 +82,79 @@ class WordBpe:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                s = rank.get(new << 32 | ids[k])
-                if s is not None:
-                    heappush(heap, s << _POSITION_BITS | i)
+                if ids[k] in (row := rank[new]):
+                    heappush(heap, row[ids[k]] << bits | i)
             h = before[i]
-            if h >= 0:
-                s = rank.get(ids[h] << 32 | new)
-                if s is not None:
-                    heappush(heap, s << _POSITION_BITS | h)
+            if h >= 0 and new in (row := rank[ids[h]]):
+                heappush(heap, row[new] << bits | h)
         return ids, merges
 
     def chunks(self, text: str) -> list[str]:
         """Runs without white space."""
         return text.split() if _SEPARATORS.search(text) is None else [x for x in _SPACE.split(text) if x]
 
-    def _each(self, chunk: str):
-        """(word, None) for words and (None, id) for special strings, in order."""
-        for part in self.specials.split(chunk) if self.specials and "<" in chunk else (chunk,):
-            if part in self.special:
-                yield None, self.special[part]
-            elif part:
-                s = part if part.isascii() else unicodedata.normalize("NFC", part)
-                s = s.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-                for w in self.pieces.findall(s):
-                    yield w, None
-
-    def count_chunk(self, chunk: str) -> int:
-        total = 0
-        for w, special in self._each(chunk):
-            if special is not None:
-                total += 1
-            else:
-                b = w.encode()
-                total += len(b) - self.merge(b)[1]
-        return total
-
-    def encode_chunk(self, chunk: str) -> bytes:
+    def words(self, part: str) -> list[str]:
+        s = part if part.isascii() else unicodedata.normalize("NFC", part)
+        s = s.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        if s.isalpha():
+            return [s]
+        core = s.rstrip(".,!?;:")
+        if core.isalpha():
+            return [core, s[len(core) :]]
+        return self.pieces.findall(s)
+
+    def split(self, chunk: str) -> list[str | int]:
+        """Words, and the ids of special strings, in order."""
+        if "<" not in chunk or not self.specials:
+            return self.words(chunk)
+        return [x for part in self.specials.split(chunk) if part for x in ([self.special[part]] if part in self.special else self.words(part))]
+
+    def count_word(self, word: str) -> int:
+        b = word.encode()
+        return len(b) - self.merge(b)[1]
+
+    def encode_word(self, word: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out = bytearray()
-        for w, special in self._each(chunk):
-            if special is not None:
-                out += special.to_bytes(4, "little")
-            else:
-                for x in self.merge(w.encode())[0]:
-                    if x >= 0:
-                        out += x.to_bytes(4, "little")
-        return bytes(out)
+        ids = [x for x in self.merge(word.encode())[0] if x >= 0]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Cache(dict):
-    """chunk -> answer. Beyond `most` entries the older half goes: what recurs comes back at the price of one computation."""
+    """text -> answer. Beyond `most` entries the older half goes: what recurs comes back at the price of one computation."""
 
-    def __init__(self, answer, most: int = 500_000):
+    def __init__(self, answer, most: int):
         super().__init__()
         self.answer, self.most = answer, most
 
-    def __missing__(self, chunk: str):
+    def __missing__(self, text: str):
         if len(self) >= self.most:
             for k in list(self)[: self.most // 2]:
                 del self[k]
-        out = self.answer(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = out
+        out = self.answer(text)
+        if len(text) <= 64:
+            self[text] = out
         return out
 
 
-_LOADED: dict[tuple[str, str], tuple[WordBpe, Cache]] = {}
+def counter(path: str) -> tuple[WordBpe, Cache]:
+    """Cached token counts of chunks."""
+    bpe = WordBpe(path)
+    words = Cache(bpe.count_word, 300_000)
+    return bpe, Cache(lambda chunk: sum([words[x] if isinstance(x, str) else 1 for x in bpe.split(chunk)]), 900_000)
 
 
-def loaded(path: str, what: str) -> tuple[WordBpe, Cache]:
-    """The vocabulary and its cache, kept by a Python worker from one task to the next. what: 'count' or 'encode'."""
-    if (path, what) not in _LOADED:
-        bpe = WordBpe(path)
-        _LOADED[path, what] = bpe, Cache(bpe.count_chunk if what == "count" else bpe.encode_chunk)
-    return _LOADED[path, what]
+def encoder(path: str) -> tuple[WordBpe, Cache]:
+    """Cached ids of chunks, as bytes."""
+    bpe = WordBpe(path)
+    words = Cache(bpe.encode_word, 300_000)
+    return bpe, Cache(lambda chunk: b"".join([words[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in bpe.split(chunk)]), 700_000)
+
+
+_LOADED: dict = {}
+
+
+def loaded(path: str, make) -> tuple[WordBpe, Cache]:
+    """The vocabulary and its cache, kept by a Python worker from one task to the next."""
+    if (path, make) not in _LOADED:
+        _LOADED[path, make] = make(path)
+    return _LOADED[path, make]

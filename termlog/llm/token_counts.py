@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import loaded
+from .bpe import counter, loaded
 from .common import slim
 
 
@@ -20,13 +20,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cache = loaded(tokenizer, "count")
+        bpe, cache = loaded(tokenizer, counter)
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 n_bytes.append(len(text.encode()))
-                n_tokens.append(sum([cache[c] for c in bpe.chunks(text)]))
+                n_tokens.append(sum(map(cache.__getitem__, bpe.chunks(text))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
