@@ -50,14 +50,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_run: int = 12, min_share
     items = scratch.save(slim(benchmark, item_col, item_text_col).toDF("item_id", "text").select("item_id", _word_hashes(F.col("text")).alias("item")).where(F.size("item") > 0), "items")
     short = sorted(r[0] for r in items.where(F.size("item") < 9).select(F.size("item")).distinct().collect())
     masks = (*MASKS, *(tuple(range(n)) for n in short))
-    seeds = items.select("item_id", F.size("item").alias("n"), F.posexplode(_seeds(F.col("item"), masks)).alias("p", "seed")).where("seed is not null").select("seed", "item_id", F.expr("p % n").alias("item_at"))
+    seeds = items.select("item_id", F.size("item").alias("n"), F.posexplode_outer(_seeds(F.col("item"), masks)).alias("p", "seed")).where("seed is not null").select("seed", "item_id", F.expr("p % n").alias("item_at"))
     seeds = scratch.save(seeds, "seeds")
     if small := seeds.count() <= BROADCAST_SEEDS:
         seeds, items = F.broadcast(seeds), F.broadcast(items)
     rows = slim(docs, id_col, text_col).toDF("doc_id", "text")
-    hashed = rows.select(content_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
+    hashed = rows.select(content_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", _word_hashes(F.col("text")).alias("words"))
     seeded = hashed.select("key", "doc_id", "words", F.size("words").alias("n"), _seeds(F.col("words"), masks).alias("seeds"))
-    exploded = seeded.select("key", "doc_id", "words", "n", F.posexplode("seeds").alias("p", "seed")).where("seed is not null")
+    # the outer form: Spark would else push a test of the array's size below, with the array's definition in it
+    exploded = seeded.select("key", "doc_id", "words", "n", F.posexplode_outer("seeds").alias("p", "seed")).where("seed is not null")
     if small:
         hits = exploded.join(seeds, "seed").select("key", "doc_id", "words", "item_id", F.expr("p % n - item_at").alias("start"))
     else:

@@ -170,3 +170,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     return slim(docs, id_col, text_col).mapInArrow(infer, f"doc_id {kind}, lang_pred string, score double, langs string")
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns kept, in which one learned language has at least the share `least`; the others are
+    rejected: `und`, or a mixture without a main language. A null text is rejected. No shuffle, no join."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column(batch.schema.get_field_index(text_col))
+                letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)
+                share = mixtures(*_words(*_joined(texts), model), len(texts), 8, 1.0).max(axis=1) if model.langs else np.zeros(len(texts))
+                yield batch.filter(pc.and_(letters, pa.array(share >= least)))
+
+    return docs.mapInArrow(choose, docs.schema)

@@ -22,7 +22,7 @@ def content_key(*columns: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """key, site, at, hash, size for each line with more than spaces; no line text leaves the scan."""
     parts = docs.select("key", "site", F.transform(F.split("text", "\n", -1), lambda x: F.named_struct(F.lit("hash"), F.xxhash64(F.trim(x)), F.lit("size"), F.when(F.trim(x) != "", F.length(x)))).alias("parts"))
-    return parts.select("key", "site", F.posexplode("parts").alias("at", "part")).select("key", "site", "at", "part.hash", "part.size").where("size is not null")
+    return parts.select("key", "site", F.posexplode_outer("parts").alias("at", "part")).select("key", "site", "at", "part.hash", "part.size").where("size is not null")
 
 
 def spread_lines(lines: DataFrame, min_sites: int, band: float = 0.25, lg_k: int = 12) -> DataFrame:
@@ -48,17 +48,36 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, max_share: int = 50, id_co
     dealt over tasks; the text itself is shuffled once at most.
     """
     rows = slim(docs, id_col, text_col, site_col).toDF("doc_id", "text", "site").withColumn("key", content_key(F.col("doc_id"), F.col("text")))
+    joined = rows.join(marked(rows, min_sites), "key", "left")
+    gone, text = _gone(F.col("text"), max_share)
+    return joined.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_removed"), text.alias("text"))
+
+
+def marked(rows: DataFrame, min_sites: int) -> DataFrame:
+    """key, gone (places of widespread lines) and size (their characters), for rows(key, text, site) with such lines."""
     lines = _lines(rows)
-    spread = spread_lines(lines, min_sites)
-    salted = spread.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = spread_lines(lines, min_sites).select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     found = lines.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
     marks = found.groupBy("key").agg(F.collect_set(F.struct("at", "size")).alias("marks"))
     marks = marks.select("key", F.col("marks.at").alias("gone"), F.aggregate("marks.size", F.lit(0), lambda a, x: a + x).alias("size"))
-    marks = Scratch(docs.sparkSession, "marks").save(marks.select("key", "gone", "size"), "marks")
-    joined = rows.join(marks, "key", "left")
-    joined = joined.withColumn("gone", F.when(100 * F.col("size") <= max_share * F.length("text"), F.col("gone")))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return joined.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.when(F.size("gone") > 0, kept).otherwise(F.col("text")).alias("text"))
+    return Scratch(rows.sparkSession, "marks").save(marks, "marks")
+
+
+def _gone(text: Column, max_share: int) -> tuple[Column, Column]:
+    """(places to remove or null, the text without them), beside columns gone and size."""
+    gone = F.when(100 * F.col("size") <= max_share * F.length(text), F.col("gone"))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    return gone, F.when(F.size(gone) > 0, kept).otherwise(text)
+
+
+def strip_lines(docs: DataFrame, min_sites: int = 10, max_share: int = 50) -> DataFrame:
+    """The documents table, all columns kept, with such lines gone from text and n_chars counted anew."""
+    key = content_key(docs["doc_id"], docs["text"])
+    rows = docs.select(key.alias("key"), docs["text"], docs["source"].alias("site"))
+    joined = docs.join(marked(rows, min_sites).withColumnRenamed("key", "_key"), key == F.col("_key"), "left")
+    _, text = _gone(docs["text"], max_share)
+    changed = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    return joined.select(*(changed[c].alias(c) if c in changed else docs[c] for c in docs.columns))
 
 
 ORACLE = """
