@@ -11,7 +11,7 @@ WINDOW = 1 << 20
 _RANDOM = np.random.default_rng(20_240_501)
 _BYTE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
 _PLACE = _RANDOM.integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1), _STEP | np.uint64(1), np.uint64)]))[:n]
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1), STEP, np.uint64)]))[:n]
 
 
 _POWERS = powers(1024)
