@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
+from . import decontam, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,6 +44,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_ngram_join": op5_ngram_join,
+        "op6_license_scans": op6_license_scans,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op10_decontamination": op10_decontamination,
         "op8_best_fit_packing": op8_best_fit_packing,
