@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
+from . import chat, decontam, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,6 +56,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.canonical_turns(table(spark, sf_dir, "conversations"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_join": op5_ngram_join,
         "op6_license_scans": op6_license_scans,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op9_chat_formatting": op9_chat_formatting,
         "op10_decontamination": op10_decontamination,
         "op8_best_fit_packing": op8_best_fit_packing,
     }
