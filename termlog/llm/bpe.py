@@ -14,6 +14,8 @@ from heapq import heapify, heappop, heappush
 
 import regex
 
+from .common import keep
+
 #: White space as the vocabulary's own splitter has it; str.split() also takes the four separators below.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -140,7 +142,7 @@ def counter(path: str) -> tuple[WordBpe, Cache]:
     """Cached token counts of chunks."""
     bpe = WordBpe(path)
     words = Cache(bpe.count_word, 300_000)
-    return bpe, Cache(lambda chunk: sum([words[x] if isinstance(x, str) else 1 for x in bpe.split(chunk)]), 900_000)
+    return bpe, Cache(lambda chunk: sum([words[x] if isinstance(x, str) else 1 for x in bpe.split(chunk)]), 700_000)
 
 
 def encoder(path: str) -> tuple[WordBpe, Cache]:
@@ -150,11 +152,6 @@ def encoder(path: str) -> tuple[WordBpe, Cache]:
     return bpe, Cache(lambda chunk: b"".join([words[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in bpe.split(chunk)]), 700_000)
 
 
-_LOADED: dict = {}
-
-
 def loaded(path: str, make) -> tuple[WordBpe, Cache]:
     """The vocabulary and its cache, kept by a Python worker from one task to the next."""
-    if (path, make) not in _LOADED:
-        _LOADED[path, make] = make(path)
-    return _LOADED[path, make]
+    return keep((path, make.__name__), lambda: make(path))

@@ -63,6 +63,22 @@ class Scratch:
             drop_path(self.spark, self.paths.pop(name))
 
 
+_KEPT: dict = {}
+
+
+def keep(owner, make: Callable):
+    """What a Python worker keeps from one task to the next; one thing at a time, as all operators share its memory."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
+def release() -> None:
+    """Frees what an earlier operator's tasks left in this worker."""
+    _KEPT.clear()
+
+
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones in the caller's table can't clash with an operator's own."""
     return docs.select(*(F.col(c) for c in columns))

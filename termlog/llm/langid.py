@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim
+from .common import release, slim
 
 BUCKET_BITS = 18
-WINDOW = 1 << 20
+WINDOW = 1 << 19
+#: Rows worked on at a time.
+SLICE = 256
 _SMOOTH = 0.05
 #: Letters and all bytes over 0x7F keep their place in a word; anything else ends it.
 _FOLD = np.array([b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
@@ -63,8 +65,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_la
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             table = pa.Table.from_batches([batch])
             for lang in pc.unique(table["lang"]).to_pylist():
                 tri, bi = found.setdefault(lang, (np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << 16, np.int64)))
@@ -154,10 +157,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 texts = batch.column(1)
                 letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_pylist()
                 pi = mixtures(*_words(*_joined(texts), model), len(texts), rounds, penalty) if model.langs else np.zeros((len(texts), 1))
@@ -178,10 +182,11 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5, id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = sent.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 texts = batch.column(batch.schema.get_field_index(text_col))
                 letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)
                 share = mixtures(*_words(*_joined(texts), model), len(texts), 8, 1.0).max(axis=1) if model.langs else np.zeros(len(texts))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, slim
+from .common import Scratch, grouped, release, slim
 from .components import components
 from .hashing import mix, shingles, text_batches
 
@@ -92,6 +92,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """Rows of kind 0: doc_id, set size and 128-bit set hash. Rows of kind 1: a task's shingle counts by hash bucket."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         names = ["kind", "doc_id", "n", "a", "b", "chunk", "counts"]
         for batch in batches:
@@ -134,6 +135,7 @@ def _keys(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts, seen = sent.value, {}
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, slim
+from .common import Scratch, grouped, release, slim
 from .hashing import STEP, mix, powers
 
 PIECE = 64
@@ -201,6 +201,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
 
     def joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Many small batches make the transfer slow: they are put together up to 64 Ki rows."""
+        release()
         held, n = [], 0
         for b in scan(batches):
             held.append(b)
