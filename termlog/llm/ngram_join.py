@@ -25,8 +25,12 @@ BUCKET_BITS = 18
 CHUNK = 4096
 GROUPS = 128
 LEAF = 16
+#: Documents of a block up to which its pairs are listed outright; larger blocks get an R-tree.
+SMALL = 16
 #: Documents of a mixed block that one task may hold; larger blocks are dealt over pairs of parts.
 PART = 2048
+#: Rows of (doc_id, a few numbers) up to which a table is broadcast; beyond, its join shuffles.
+BROADCAST_ROWS = 200_000
 #: Pairs of one leader that one task verifies.
 PAIRS = 2000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -41,6 +45,22 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def point(h: np.ndarray) -> bytes:
+    """Counts of a set's shingles by hash group, in the narrowest integers that hold them."""
+    counts = np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def points(data: list[bytes]) -> np.ndarray:
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
+    return np.stack([np.frombuffer(x, kinds[len(x)]).astype(np.int32) for x in data])
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 class Node:
     """A node of the R-tree: coordinate maxima and size range of its rows; children or, for a leaf, the rows."""
 
@@ -89,28 +109,29 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, pe
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: doc_id, set size and 128-bit set hash. Rows of kind 1: a task's shingle counts by hash bucket."""
+    """Rows of kind 0: doc_id, set size, 128-bit set hash and point. Rows of kind 1: a task's shingle counts by hash bucket."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         counts = np.zeros(1 << BUCKET_BITS, np.uint32)
-        names = ["kind", "doc_id", "n", "a", "b", "chunk", "counts"]
+        names = ["kind", "doc_id", "n", "a", "b", "vector", "chunk", "counts"]
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, vectors = [], [], [], []
             for _, texts in text_batches(batch, 1):
                 found = shingles(texts)
                 for h in found:
                     n.append(len(h))
                     a.append(int(mix(h).sum(dtype=np.uint64).astype(np.int64)))
                     b.append(int(mix(h ^ _SALT).sum(dtype=np.uint64).astype(np.int64)))
+                    vectors.append(point(h))
                 counts += np.bincount((np.concatenate(found) & _BUCKETS).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(vectors, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         parts = counts.reshape(-1, CHUNK)
         rows = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(rows, np.int32)), pa.nulls(rows, pa.int64()), *[pa.nulls(rows, pa.int64())] * 3, pa.array(np.arange(rows, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(rows, np.int32)), pa.nulls(rows, pa.int64()), *[pa.nulls(rows, pa.int64())] * 3, pa.nulls(rows, pa.binary()), pa.array(np.arange(rows, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
-    return docs.mapInArrow(scan, "kind int, doc_id bigint, n bigint, a bigint, b bigint, chunk int, counts binary")
+    return docs.mapInArrow(scan, "kind int, doc_id bigint, n bigint, a bigint, b bigint, vector binary, chunk int, counts binary")
 
 
 def _bucket_counts(scanned: DataFrame) -> np.ndarray:
@@ -185,12 +206,30 @@ def _blocks(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(blocks, "key bigint, doc_id bigint, leader bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs(x, y) whose sizes and sum of coordinate minima allow a link."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+                both = np.minimum(points(batch.column(3).to_pylist()), points(batch.column(5).to_pylist())).sum(axis=1, dtype=np.int64)
+                yield batch.select(["x", "y"]).filter(pa.array(linked(n, m, both, percent)))
+
+    x = vectors.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("vector").alias("vx"))
+    y = vectors.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("vector").alias("vy"))
+    fits = (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
+    return pairs.join(y, "y").join(x, "x").where(fits).select("x", "y", "nx", "vx", "ny", "vy").mapInArrow(bound, "x bigint, y bigint").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Links (a, b) among pairs(x, y), by their whole sets. Each text goes to its pairs' x, hot ones in several parts."""
     parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
     dealt = pairs.join(parts, "x").select(F.col("y").alias("doc_id"), "x", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"))
     own = parts.select(F.col("x").alias("doc_id"), "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     wanted = dealt.union(own).groupBy("doc_id").agg(F.collect_list(F.xxhash64("x", "part")).alias("groups"), F.collect_list(F.col("x") == F.col("doc_id")).alias("leads"))
+    wanted = sized(scratch.save(wanted, name))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,22 +264,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return made.repartition("group").sortWithinPartitions("group", "follows").mapInArrow(verify, "a bigint, b bigint")
 
 
-def _tree_candidates(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) that the R-trees of blocks(key, doc_id, component) leave."""
+def _block_pairs(named: DataFrame) -> DataFrame:
+    """From blocks(key, doc_id, component): of blocks with more than one component, the pairs of different components
+    (kind 0: x, y) if the block is small, else its rows (kind 1: key, x the document, y the component)."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, "key"):
+            key, doc, comp = (table[c].to_numpy() for c in ("key", "doc_id", "component"))
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            kinds, keys, x, y = [], [], [], []
+            for size in range(2, SMALL + 1):  # blocks of one size at a time
+                lo = edge[:-1][np.diff(edge) == size]
+                for i in range(size):
+                    for j in range(i):
+                        apart = comp[lo + i] != comp[lo + j]
+                        p, q = doc[lo + i][apart], doc[lo + j][apart]
+                        kinds.append(np.zeros(len(p), np.int32))
+                        keys.append(np.zeros(len(p), np.int64))
+                        x.append(np.minimum(p, q))
+                        y.append(np.maximum(p, q))
+            big = np.repeat(np.diff(edge) > SMALL, np.diff(edge))
+            kinds.append(np.ones(int(big.sum()), np.int32))
+            keys.append(key[big])
+            x.append(doc[big])
+            y.append(comp[big])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kinds, keys, x, y)], ["kind", "key", "x", "y"])
 
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for first, run in text_batches(batch, 1):
-                found = shingles(run)
-                vectors = [np.bincount((h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32).tobytes() for h in found]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(run)), pa.array([len(h) for h in found], pa.int64()), pa.array(vectors, pa.binary())], ["doc_id", "n", "vector"])
+    by_key = Window.partitionBy("key")
+    mixed = named.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo != hi").select("key", "doc_id", "component")
+    return mixed.mapInArrow(pairs, "kind int, key bigint, x bigint, y bigint")
+
+
+def _tree_candidates(mixed: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) that the R-trees of blocks(key, doc_id, component) leave."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "cell"):
             cells = table["cell"].to_numpy()
             doc, comp, n, side, two = (table[c].to_numpy() for c in ("doc_id", "component", "n", "side", "two"))
-            vectors = np.frombuffer(b"".join(table["vector"].to_pylist()), np.int32).reshape(-1, GROUPS)
+            vectors = points(table["vector"].to_pylist())
             first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
             x, y = [], []
             for lo, hi in zip(first, np.append(first[1:], len(cells)), strict=True):
@@ -251,12 +313,11 @@ def _tree_candidates(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFr
                         y.append(max(p, q))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
-    vectors = texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(points, "doc_id bigint, n bigint, vector binary")
-    sized = mixed.join(mixed.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "key").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    counted = mixed.join(mixed.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "key").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    dealt = counted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "doc_id", "component", "side", (F.col("other") != F.col("side")).alias("two")).distinct()
     # a document meets its own part in the cell (side, side) only, and another part in the cell of both
-    joined = cells.join(vectors, "doc_id").select("cell", "doc_id", "component", "n", "side", "two", "vector")
+    joined = cells.join(vectors.select("doc_id", "n", "vector"), "doc_id").select("cell", "doc_id", "component", "n", "side", "two", "vector")
     return joined.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "x bigint, y bigint").distinct()
 
 
@@ -275,18 +336,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     scratch = Scratch(spark, "ngrams")
     rows = slim(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     scanned = scratch.save(_scan(rows), "scanned")
-    sets = scanned.where("kind = 0").select("doc_id", "n", "a", "b")
+    sets = scanned.where("kind = 0").select("doc_id", "n", "a", "b", "vector")
     blocks = scratch.save(_blocks(_keys(rows, _bucket_counts(scanned), percent)), "blocks")
-    texts = scratch.save(rows.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    stars = blocks.where("doc_id != leader").select(F.col("leader").alias("x"), F.col("doc_id").alias("y")).distinct()
-    links = scratch.save(_verified(stars, texts, percent), "stars")
+    stars = scratch.save(_bounded(blocks.where("doc_id != leader").select(F.col("leader").alias("x"), F.col("doc_id").alias("y")).distinct(), sets, percent), "stars")
+    links = scratch.save(_verified(stars, rows, percent, scratch, "star_texts"), "links")
     first = scratch.save(components(links, scratch), "first")
-    named = blocks.select("key", "doc_id").join(first, blocks["doc_id"] == first["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    by_key = Window.partitionBy("key")
-    mixed = scratch.save(named.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo != hi").select("key", "doc_id", "component"), "mixed")
+    named = blocks.select("key", "doc_id").join(sized(first), blocks["doc_id"] == first["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = scratch.save(_block_pairs(named), "mixed")
     scratch.drop("blocks")
-    candidates = scratch.save(_tree_candidates(mixed, texts, percent).join(stars_known(links), ["x", "y"], "left_anti"), "candidates")
-    more = scratch.save(_verified(candidates, texts, percent), "more")
+    listed = _bounded(mixed.where("kind = 0").select("x", "y").distinct(), sets, percent)
+    searched = _tree_candidates(mixed.where("kind = 1").select("key", F.col("x").alias("doc_id"), F.col("y").alias("component")), sets, percent)
+    known = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    candidates = scratch.save(listed.union(searched).distinct().join(known, ["x", "y"], "left_anti"), "candidates")
+    more = scratch.save(_verified(candidates, rows, percent, scratch, "more_texts"), "more")
     least = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "least")
     owned = sets.join(least, ["n", "a", "b"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     met = first.select("node").join(owned, F.col("node") == F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -294,10 +356,6 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     return owned.join(final, owned["rep"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def stars_known(links: DataFrame) -> DataFrame:
-    return links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-
-
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, but of each component only that of the least id. Rows with a null id stay."""
     gone = jaccard_components(docs, percent, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
