@@ -125,7 +125,7 @@ def build(name: str, parts: Parts) -> Domain:
     schema = Schema.resolve(parts.types, constants)
     rules = [x for r in parts.rules for x in _expand(r, schema)]
     for r in rules:
-        check_safety(Rule(tuple(h for h in r.heads if h.args), _without_constants(r.body, schema)))
+        check_safety(Renamer({n: n for n in schema.constants}).rule(Rule(tuple(h for h in r.heads if h.args), r.body)))
         for h in r.heads:
             if h.name not in schema.composites and h.name not in schema.constants:
                 raise AnalysisError(f"{h.name} is not a constructor: {r}")
@@ -133,10 +133,6 @@ def build(name: str, parts: Parts) -> Domain:
     return Domain(name, schema, rules, parts.conforms, parts.requires)
 
 
-def _without_constants(body, schema: Schema):
-    return tuple(Renamer({n: n for n in schema.constants}).constraint(c) for c in body)
-
-
 def _expand(r: Rule, schema: Schema) -> list[Rule]:
     """Out._(x) :- In._(x): one rule for each constructor that both sides have."""
     wild = [h for h in r.heads if h.name.endswith("._")]
@@ -272,30 +268,35 @@ class Engine:
             raise AnalysisError(f"model {name} has no domain")
         return of.name
 
-    def model_facts(self, name: str, seen: tuple[str, ...] = ()) -> list[Term]:
+    def model_facts(self, name: str) -> list[Term]:
         """Ground facts of a model and those it includes, aliases replaced; each once."""
+        return self._facts(name, ())[0]
+
+    def _facts(self, name: str, seen: tuple[str, ...]) -> tuple[list[Term], dict[str, Term]]:
+        """(facts, alias -> ground term), renamed where a scope is given."""
         if name in seen:
             raise AnalysisError(f"model {name} includes itself")
-        m, out, aliases = self.module(name, "model"), [], {}
+        m, out, known = self.module(name, "model"), [], {}
         for i in m.inherits:
             if i.mode != "of":
-                base = self.model_facts(i.name, (*seen, name))
-                names = Renamer({n: f"{i.scope}.{n}" for n in self.parts(self.model_domain(i.name)).names()}) if i.scope else None
-                out += [names.expr(t) for t in base] if names else base
-                for f in self.module(i.name, "model").facts:
-                    if f.alias and i.scope:
-                        aliases[f"{i.scope}.{f.alias}"] = f.term
-        aliases |= {f.alias: f.term for f in m.facts if f.alias}
+                facts, aliases = self._facts(i.name, (*seen, name))
+                if i.scope:
+                    to = Renamer({n: f"{i.scope}.{n}" for n in self.parts(self.model_domain(i.name)).names()})
+                    facts, aliases = list(map(to.expr, facts)), {f"{i.scope}.{n}": to.expr(t) for n, t in aliases.items()}
+                out += facts
+                known |= aliases
+        own = {f.alias: f.term for f in m.facts if f.alias}
 
         def ground(e: Expr, inside: tuple[str, ...] = ()) -> Expr:
             if isinstance(e, Var):
                 n = str(e)
                 if n in inside:
                     raise AnalysisError(f"alias {n} stands for itself")
-                return ground(aliases[n], (*inside, n)) if n in aliases else Term(n)
+                return ground(own[n], (*inside, n)) if n in own else known.get(n, Term(n))
             return Term(e.name, tuple(ground(a, inside) for a in e.args)) if isinstance(e, Term) else e
 
-        return list(dict.fromkeys([*out, *(ground(f.term) for f in m.facts)]))
+        aliases = known | {n: ground(t, (n,)) for n, t in own.items()}
+        return list(dict.fromkeys([*out, *(ground(f.term) for f in m.facts)])), aliases
 
     def facts(self, domain: Domain, terms: list[Term]) -> dict[str, DataFrame]:
         """Relations of ground terms; arguments are checked against their types."""

@@ -173,12 +173,14 @@ class Schema:
                     return part, _both(test, self._admits(part, want))
                 if want.plain == "~Text" and leaf in self.composites:
                     return self.text(part, one(leaf)), test
+                if self.twin(leaf, want) == want.plain:
+                    return self._copied(part, leaf, want.plain), test
             return F.lit(None).cast(self.spark(want)), F.lit(False)
         made, tests = [], []
         for leaf, (part, test) in parts.items():
-            to = leaf if leaf in want.leaves else next((x for x in sorted(want.leaves) if x in _INTEGERS and leaf in _INTEGERS or x == "~Text" and leaf in self.composites), None)
+            to = leaf if leaf in want.leaves else next((x for x in sorted(want.leaves) if x in _INTEGERS and leaf in _INTEGERS or x == "~Text" and leaf in self.composites), self.twin(leaf, want))
             if to is not None:
-                made.append((test, self._tagged(part if to == leaf or to in _INTEGERS else self.text(part, one(leaf)), to, want)))
+                made.append((test, self._tagged(part if to == leaf or to in _INTEGERS or to in self.constants else self.text(part, one(leaf)) if to == "~Text" else self._copied(part, leaf, to), to, want)))
                 tests.append(test)
         if not made:
             return F.lit(None).cast(self.spark(want)), F.lit(False)
@@ -192,6 +194,18 @@ class Schema:
             any_of = any_of | t
         return out, None if len(made) == len(parts) else any_of
 
+    def twin(self, leaf: str, want: Type) -> str | None:
+        """The type of the same name under another scope: a transform copies terms from one to the other."""
+        base = leaf.rpartition(".")[2]
+        same = [x for x in sorted(want.leaves) if x != leaf and x.rpartition(".")[2] == base and (x in self.composites) == (leaf in self.composites) and (x in self.constants) == (leaf in self.constants)]
+        return same[0] if same and "." in leaf + same[0] else None
+
+    def _copied(self, value: Column, leaf: str, to: str) -> Column:
+        if to in self.constants:
+            return self.constant(to)
+        fields = zip(self.composites[leaf].fields, self.composites[to].fields, strict=True)
+        return F.struct(*(self.cast(value.getField(f), t, u)[0].alias(g) for (f, t), (g, u) in fields))
+
     def _admits(self, value: Column, t: Type) -> Column | None:
         """Membership in an enumeration's values and ranges, for a plain column."""
         if not t.allowed or not t.plain:
