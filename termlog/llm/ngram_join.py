@@ -1,9 +1,9 @@
 """Exact Jaccard join on word n-grams, by count-vector R-trees.
 
 A document is its set of distinct five-word shingles, hashed to 64 bits. Two sets of Jaccard similarity t or more share
-one of the first (1 - t) of their shingles in any common order, rarer first here, so documents meet in blocks by such
-shingles. A first pass verifies each document of a block against the block's leader, which joins copies of one text
-into one component. Where a block still holds several components, its documents' shingles are hashed into groups, the
+some of the first (1 - t) of their shingles in any common order, rarer first here, so documents meet in blocks by such
+shingles. A first pass verifies each document of a block against the block's leader, the one in most blocks, which joins
+copies of one text into one component. Where a block still holds several components, its documents' shingles are hashed into groups, the
 group counts are the points of an R-tree, and pairs of nodes and then of documents go on only if the sum of coordinate
 minima, a bound on their overlap, can reach the similarity. Surviving pairs are verified on the sets themselves.
 """
@@ -31,6 +31,8 @@ SMALL = 16
 PART = 2048
 #: Rows of (doc_id, a few numbers) up to which a table is broadcast; beyond, its join shuffles.
 BROADCAST_ROWS = 200_000
+#: One shared block is asked for each so many shingles of the smaller set, besides the first.
+SHARE = 50
 #: Pairs of one leader that one task verifies.
 PAIRS = 2000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -41,8 +43,14 @@ def linked(n_a, n_b, both, percent: int):
     return 100 * both >= percent * (n_a + n_b - both)
 
 
+def least_shared(n: int) -> int:
+    """How many of their first shingles two linked sets share at least, the smaller having n: with prefixes longer by
+    as many less one, since the first shingles in common are in both prefixes."""
+    return 1 + n // SHARE
+
+
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + least_shared(n)
 
 
 def point(h: np.ndarray) -> bytes:
@@ -180,10 +188,10 @@ def _keys(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 
 def _blocks(keys: DataFrame) -> DataFrame:
-    """(key, doc_id, leader) of keys with more than one document; leader is the least. Streams: no block is held."""
+    """(key, doc_id) of keys with more than one document. Streams: no block is held."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, leader, waiting = None, None, None
+        last_key, waiting = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -192,22 +200,26 @@ def _blocks(keys: DataFrame) -> DataFrame:
                 key, doc = np.append(waiting[0], key), np.append(waiting[1], doc)
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
-            lead = doc[first].copy()
-            goes_on = waiting is None and key[0] == last_key
-            if goes_on:
-                lead[0] = leader
             keep = size > 1
-            keep[0] |= goes_on
+            keep[0] |= waiting is None and key[0] == last_key
             waiting = None if keep[-1] else (key[-1:], doc[-1:])
-            last_key, leader = key[-1], lead[-1]
+            last_key = key[-1]
             rows = np.repeat(keep, size)
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(doc[rows]), pa.array(np.repeat(lead, size)[rows])], ["key", "doc_id", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(doc[rows])], ["key", "doc_id"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(blocks, "key bigint, doc_id bigint")
 
-    return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(blocks, "key bigint, doc_id bigint, leader bigint")
+
+def _star_pairs(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, y, shared): each document y with the leaders x of its blocks, and of how many."""
+    degree = scratch.save(blocks.groupBy("doc_id").agg(F.count("*").alias("degree")), "degree")
+    by_key = Window.partitionBy("key")
+    led = blocks.join(sized(degree), "doc_id").withColumn("leader", F.max(F.struct(F.col("degree"), -F.col("doc_id"))).over(by_key))
+    return led.select((-F.col("leader.col2")).alias("x"), F.col("doc_id").alias("y")).where("x != y").groupBy("x", "y").agg(F.count("*").alias("shared"))
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs(x, y) whose sizes and sum of coordinate minima allow a link."""
+    """Those of the pairs(x, y, shared) whose sizes, shared blocks and sum of coordinate minima allow a link."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -220,6 +232,7 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
     x = vectors.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("vector").alias("vx"))
     y = vectors.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("vector").alias("vy"))
     fits = (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx"))
+    fits &= F.col("shared") >= 1 + F.floor(F.least("nx", "ny") / SHARE)
     return pairs.join(y, "y").join(x, "x").where(fits).select("x", "y", "nx", "vx", "ny", "vy").mapInArrow(bound, "x bigint, y bigint").distinct()
 
 
@@ -296,7 +309,7 @@ def _block_pairs(named: DataFrame) -> DataFrame:
 
 
 def _tree_candidates(mixed: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) that the R-trees of blocks(key, doc_id, component) leave."""
+    """Pairs (x, y, shared) that the R-trees of blocks(key, doc_id, component) leave, and in how many they do."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "cell"):
@@ -311,14 +324,15 @@ def _tree_candidates(mixed: DataFrame, vectors: DataFrame, percent: int) -> Data
                         p, q = int(doc[lo + i]), int(doc[lo + j])
                         x.append(min(p, q))
                         y.append(max(p, q))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+            pairs, shared = np.unique(np.array([x, y], np.int64), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(shared.astype(np.int64))], ["x", "y", "shared"])
 
     counted = mixed.join(mixed.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "key").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     dealt = counted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "doc_id", "component", "side", (F.col("other") != F.col("side")).alias("two")).distinct()
     # a document meets its own part in the cell (side, side) only, and another part in the cell of both
     joined = cells.join(vectors.select("doc_id", "n", "vector"), "doc_id").select("cell", "doc_id", "component", "n", "side", "two", "vector")
-    return joined.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "x bigint, y bigint").distinct()
+    return joined.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "x bigint, y bigint, shared bigint")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,22 +352,23 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     scanned = scratch.save(_scan(rows), "scanned")
     sets = scanned.where("kind = 0").select("doc_id", "n", "a", "b", "vector")
     blocks = scratch.save(_blocks(_keys(rows, _bucket_counts(scanned), percent)), "blocks")
-    stars = scratch.save(_bounded(blocks.where("doc_id != leader").select(F.col("leader").alias("x"), F.col("doc_id").alias("y")).distinct(), sets, percent), "stars")
+    stars = scratch.save(_bounded(_star_pairs(blocks, scratch), sets, percent), "stars")
     links = scratch.save(_verified(stars, rows, percent, scratch, "star_texts"), "links")
     first = scratch.save(components(links, scratch), "first")
     named = blocks.select("key", "doc_id").join(sized(first), blocks["doc_id"] == first["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = scratch.save(_block_pairs(named), "mixed")
     scratch.drop("blocks")
-    listed = _bounded(mixed.where("kind = 0").select("x", "y").distinct(), sets, percent)
+    listed = mixed.where("kind = 0").groupBy("x", "y").agg(F.count("*").alias("shared"))
     searched = _tree_candidates(mixed.where("kind = 1").select("key", F.col("x").alias("doc_id"), F.col("y").alias("component")), sets, percent)
+    met = listed.union(searched).groupBy("x", "y").agg(F.sum("shared").alias("shared"))
     known = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    candidates = scratch.save(listed.union(searched).distinct().join(known, ["x", "y"], "left_anti"), "candidates")
+    candidates = scratch.save(_bounded(met.join(known, ["x", "y"], "left_anti"), sets, percent), "candidates")
     more = scratch.save(_verified(candidates, rows, percent, scratch, "more_texts"), "more")
     least = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "least")
     owned = sets.join(least, ["n", "a", "b"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    met = first.select("node").join(owned, F.col("node") == F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = scratch.save(components(links.union(more).union(met), scratch), "final")
-    return owned.join(final, owned["rep"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    copies = first.select("node").join(owned, F.col("node") == F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = scratch.save(components(links.union(more).union(copies), scratch), "final")
+    return owned.join(final, owned["rep"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
