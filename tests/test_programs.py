@@ -125,3 +125,15 @@ def test_random_graph_and_lists_and_term_table(spark):
     ids = spark.createDataFrame([("Not(And(true, GEq(1, 2)))",)], "p string")
     inner = terms.destructure(ids, "p", t, "Not", ["q"])
     assert inner.first().q == "And(true, GEq(1, 2))" and t.count() == 6
+
+
+def test_commands(spark, tmp_path):
+    from termlog.__main__ import execute
+
+    (tmp_path / "g.txt").write_text(GRAPH + "transform Keep (In:: G) returns (Out:: G) { Out.Edge(a, b) :- In.Edge(a, b). }")
+    e, out = Engine(spark), []
+    for c in (f"load {tmp_path / 'g.txt'}", "query m Path(Node(0), Node(x))", "apply k = Keep(m)", "rules G", "conforms m"):
+        execute(e, c, out.append)
+    assert sorted(out[:2]) == ["x = 1", "x = 2"] and out[2].startswith("k is Out of Keep") and "stratum" in out[3]
+    with pytest.raises(ValueError):
+        execute(e, "nonsense", out.append)
