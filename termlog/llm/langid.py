@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return slim(docs, id_col, text_col).mapInArrow(infer, f"doc_id {kind}, lang_pred string, score double, langs string")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, least: float = 0.34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, in which one learned language has at least the share `least`; the others are
     rejected: `und`, or a mixture without a main language. A null text is rejected. No shuffle, no join."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
