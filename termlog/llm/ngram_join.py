@@ -281,30 +281,39 @@ def _block_pairs(named: DataFrame) -> DataFrame:
     """From blocks(key, doc_id, component): of blocks with more than one component, the pairs of different components
     (kind 0: x, y) if the block is small, else its rows (kind 1: key, x the document, y the component)."""
 
+    names = ["kind", "key", "x", "y"]
+
+    def list_pairs(key: np.ndarray, doc: np.ndarray, comp: np.ndarray) -> pa.RecordBatch:
+        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size in range(2, SMALL + 1):  # blocks of one size at a time
+            lo = edge[:-1][np.diff(edge) == size]
+            for i in range(size):
+                for j in range(i):
+                    apart = comp[lo + i] != comp[lo + j]
+                    p, q = doc[lo + i][apart], doc[lo + j][apart]
+                    x.append(np.minimum(p, q))
+                    y.append(np.maximum(p, q))
+        x, y = np.concatenate(x), np.concatenate(y)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int32)), pa.nulls(len(x), pa.int64()), pa.array(x), pa.array(y)], names)
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, "key"):
-            key, doc, comp = (table[c].to_numpy() for c in ("key", "doc_id", "component"))
-            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            kinds, keys, x, y = [], [], [], []
-            for size in range(2, SMALL + 1):  # blocks of one size at a time
-                lo = edge[:-1][np.diff(edge) == size]
-                for i in range(size):
-                    for j in range(i):
-                        apart = comp[lo + i] != comp[lo + j]
-                        p, q = doc[lo + i][apart], doc[lo + j][apart]
-                        kinds.append(np.zeros(len(p), np.int32))
-                        keys.append(np.zeros(len(p), np.int64))
-                        x.append(np.minimum(p, q))
-                        y.append(np.maximum(p, q))
-            big = np.repeat(np.diff(edge) > SMALL, np.diff(edge))
-            kinds.append(np.ones(int(big.sum()), np.int32))
-            keys.append(key[big])
-            x.append(doc[big])
-            y.append(comp[big])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kinds, keys, x, y)], ["kind", "key", "x", "y"])
+        held = [np.zeros(0, np.int64)] * 3  # the rows of a small block that a batch has cut
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(3)]
+            big = batch.column(3).to_numpy() > SMALL
+            key, doc, comp = (c[big] for c in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(doc), pa.array(comp)], names)
+            small = [np.append(h, c[~big]) for h, c in zip(held, columns, strict=True)]
+            earlier = np.flatnonzero(small[0] != small[0][-1:])  # not of the last block
+            cut = int(earlier[-1]) + 1 if len(earlier) else 0
+            held = [c[cut:] for c in small]
+            yield list_pairs(*(c[:cut] for c in small))
+        yield list_pairs(*held)
 
     by_key = Window.partitionBy("key")
-    mixed = named.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).where("lo != hi").select("key", "doc_id", "component")
+    sizes = named.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).withColumn("size", F.count("*").over(by_key))
+    mixed = sizes.where("lo != hi").select("key", "doc_id", "component", "size")
     return mixed.mapInArrow(pairs, "kind int, key bigint, x bigint, y bigint")
 
 
