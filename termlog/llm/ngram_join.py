@@ -31,6 +31,9 @@ SMALL = 16
 PART = 2048
 #: Rows of (doc_id, a few numbers) up to which a table is broadcast; beyond, its join shuffles.
 BROADCAST_ROWS = 200_000
+#: Tasks that the blocks of one cluster are dealt over, and pairs that one adds up before it sends them on.
+SPREAD = 4
+HELD_PAIRS = 1 << 20
 #: One shared block is asked for each so many shingles of the smaller set, besides the first.
 SHARE = 50
 #: Pairs of one leader that one task verifies.
@@ -64,6 +67,16 @@ def points(data: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(x, kinds[len(x)]).astype(np.int32) for x in data])
 
 
+def added_up(rows: np.ndarray) -> np.ndarray:
+    """Columns (x, y, shared) with each pair once, its counts added up."""
+    if not rows.shape[1]:
+        return rows
+    order = np.lexsort((rows[1], rows[0]))
+    rows = rows[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]))
+    return np.stack([rows[0][first], rows[1][first], np.add.reduceat(rows[2], first)])
+
+
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A saved table, marked for broadcast if it has few rows."""
     return F.broadcast(df) if df.count() <= most else df
@@ -321,6 +334,11 @@ def _tree_candidates(mixed: DataFrame, vectors: DataFrame, percent: int) -> Data
     """Pairs (x, y, shared) that the R-trees of blocks(key, doc_id, component) leave, and in how many they do."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((3, 0), np.int64)  # x, y, shared: added up over the task, as one pair meets in many cells
+
+        def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["x", "y", "shared"])
+
         for table in grouped(batches, "cell"):
             cells = table["cell"].to_numpy()
             doc, comp, n, side, two = (table[c].to_numpy() for c in ("doc_id", "component", "n", "side", "two"))
@@ -333,15 +351,19 @@ def _tree_candidates(mixed: DataFrame, vectors: DataFrame, percent: int) -> Data
                         p, q = int(doc[lo + i]), int(doc[lo + j])
                         x.append(min(p, q))
                         y.append(max(p, q))
-            pairs, shared = np.unique(np.array([x, y], np.int64), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(shared.astype(np.int64))], ["x", "y", "shared"])
+            found = added_up(np.concatenate([found, np.array([x, y, [1] * len(x)], np.int64)], axis=1))
+            if found.shape[1] > HELD_PAIRS:
+                yield batch_of(found)
+                found = found[:, :0]
+        yield batch_of(found)
 
-    counted = mixed.join(mixed.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "key").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    counted = mixed.join(mixed.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("component").alias("least")), "key").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     dealt = counted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "doc_id", "component", "side", (F.col("other") != F.col("side")).alias("two")).distinct()
+    cells = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "least", "doc_id", "component", "side", (F.col("other") != F.col("side")).alias("two")).distinct()
     # a document meets its own part in the cell (side, side) only, and another part in the cell of both
-    joined = cells.join(vectors.select("doc_id", "n", "vector"), "doc_id").select("cell", "doc_id", "component", "n", "side", "two", "vector")
-    return joined.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "x bigint, y bigint, shared bigint")
+    joined = cells.join(vectors.select("doc_id", "n", "vector"), "doc_id").select(F.xxhash64("least", F.pmod("cell", F.lit(SPREAD))).alias("deal"), "cell", "doc_id", "component", "n", "side", "two", "vector")
+    # blocks of one cluster go to a few tasks, where their pairs are added up before they are shuffled
+    return joined.repartition("deal").sortWithinPartitions("cell").mapInArrow(search, "x bigint, y bigint, shared bigint")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
