@@ -197,3 +197,37 @@ def insert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.insert("Parent", parent.where("_0 between 201 and 260"))
     s.commit()
     return s.changes("Path").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "weight")
+
+
+# the whole of Parent: batches by the customers' nations, with SQL of their own
+WHOLE = "(SELECT c_custkey AS src, c_custkey // 3 AS dst, c_nationkey AS nation FROM customer WHERE c_custkey > 0)"
+WHOLE_PATHS = "p AS (SELECT src, dst FROM o UNION SELECT p.src, o.dst FROM p JOIN o ON p.dst = o.src), q AS (SELECT src, dst FROM n UNION SELECT q.src, n.dst FROM q JOIN n ON q.dst = n.src)"
+
+
+def whole_session(spark: SparkSession, sf_dir: str) -> tuple[Session, Callable[[str], DataFrame]]:
+    """A session over all Parent facts but those of nation 7, and the facts by a condition on the nation."""
+    facts = base(spark, sf_dir, ["Parent", "Customer"])
+
+    def of(nation: str) -> DataFrame:
+        return facts["Parent"].join(facts["Customer"].where(f"_1 {nation}").select("_0"), "_0", "left_semi")
+
+    e = Engine(spark).load(f"domain Q {{ {TYPES} {PATH.format(e='Parent', first='Path')} }}")
+    return Session(e, "Q", {"Parent": of("!= 7")}), of
+
+
+@query("delta_changes_whole", f"WITH RECURSIVE o AS (SELECT src, dst FROM {WHOLE} WHERE nation != 7), n AS (SELECT src, dst FROM {WHOLE} WHERE nation != 3), {WHOLE_PATHS} SELECT src, dst, 1 AS weight FROM (SELECT * FROM q EXCEPT SELECT * FROM p) UNION ALL SELECT src, dst, -1 FROM (SELECT * FROM p EXCEPT SELECT * FROM q)")
+def delta_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, of = whole_session(spark, sf_dir)
+    s.begin()
+    s.delete("Parent", of("= 3"))
+    s.insert("Parent", of("= 7"))
+    s.commit()
+    return s.changes("Path").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "weight")
+
+
+@query("insert_changes_whole", f"WITH RECURSIVE o AS (SELECT src, dst FROM {WHOLE} WHERE nation != 7), n AS (SELECT src, dst FROM {WHOLE}), {WHOLE_PATHS} SELECT src, dst, 1 AS weight FROM (SELECT * FROM q EXCEPT SELECT * FROM p)")
+def insert_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, of = whole_session(spark, sf_dir)
+    s.begin().insert("Parent", of("= 7"))
+    s.commit()
+    return s.changes("Path").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "weight")

@@ -29,3 +29,16 @@ def test_sql_agrees(spark, name):
     columns = sorted(df.columns)
     assert columns == sorted(rel.columns)
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr([r[rel.columns.index(c)] for c in columns]) for r in rel.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+@pytest.mark.parametrize("name", ["delta_changes_whole", "insert_changes_whole"])
+def test_whole_relation_changes(spark, name):
+    import __spark_entry__ as e
+    from termlog.queries import base, whole_session
+
+    test_sql_agrees(spark, name)
+    s, of = whole_session(spark, SF)
+    parents = base(spark, SF, ["Parent"])["Parent"].count()
+    assert s.relation("Parent").count() + of("= 7").count() == parents
+    assert e.queries()[name](spark, SF).where("src > 260 or dst > 260").count() or parents <= 260
