@@ -397,7 +397,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     more = scratch.save(_verified(candidates, rows, percent, scratch, "more_texts"), "more")
     least = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "least")
     owned = sets.join(least, ["n", "a", "b"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    copies = first.select("node").join(owned, F.col("node") == F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # a task sends one of its copies only, not always the least: every node of either pass is joined to its rep
+    nodes = first.select("node").union(more.select("a")).union(more.select("b")).distinct()
+    copies = nodes.join(owned, F.col("node") == F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = scratch.save(components(links.union(more).union(copies), scratch), "final")
     return owned.join(final, owned["rep"] == final["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 

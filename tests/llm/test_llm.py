@@ -263,3 +263,12 @@ def test_chat(spark):
     assert [zero[t] for t in range(600)] == [["user", "assistant"][t % 2] for t in range(600)]
     assert next(r for r in got if r.conv_id == 3).rendered == "<|user|>\nsame\n<|end|>\n"
     assert chat.canonical_turns(df.limit(0)).count() == 0
+
+
+def test_ngram_join_copies_linked_by_the_second_pass(spark):
+    """Copies come in descending order, and the document that leads their blocks is linked with neither."""
+    shared, tail = [f"s{i}" for i in range(100)], [f"t{i}" for i in range(100)]
+    copy, near_copy = " ".join(["c1", "c2", "c3", *shared]), " ".join([*shared, "n1", "n2", "n3"])
+    texts = {100: copy, 5: copy, 50: near_copy, 1: " ".join([*shared, *tail])} | {200 + i: " ".join([*tail, *(f"m{k}" for k in range(9))]) for i in range(6)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    assert by_id(ngram_join.jaccard_components(docs), "n_shingles", "component_id") == brute.components(texts)
