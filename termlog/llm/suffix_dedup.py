@@ -214,12 +214,12 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
 
     found = scratch.save(rows.select(key.alias("key"), "text").mapInArrow(joined_batches, "key bigint, bucket bigint, anchor bigint, first bigint, last bigint, a bigint, b bigint"), "found")
     contexts = found.groupBy("bucket", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("key", "anchor", "first", "last")).alias("one"))
-    by_bucket = contexts.groupBy("bucket").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
-    shared = scratch.save(contexts.join(by_bucket, "bucket").select("bucket", "a", "b", "n", "one", "kinds"), "shared")
+    by_bucket = contexts.groupBy("bucket").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum(F.col("one.last") - F.col("one.first") + width).alias("bytes")).where(F.col("all") > 1)
+    shared = scratch.save(contexts.join(by_bucket, "bucket").select("bucket", "a", "b", "n", "one", "kinds", "bytes"), "shared")
     suspects = scratch.save(rows.withColumn("key", key).join(found.join(shared.select("bucket").distinct(), "bucket", "left_semi").select("key").distinct(), "key", "left_semi"), "suspects")
 
     alone = shared.where("kinds = 1").select("bucket", "a", "b", F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), (F.col("one.last") - F.col("one.first")).alias("hi"))).alias("runs"))
-    several = shared.where("kinds > 1").groupBy("one.key").agg(F.collect_list(F.struct("bucket", "a", "b", "n", "one.anchor", "one.first", "one.last", "kinds")).alias("cuts"))
+    several = shared.where("kinds > 1").groupBy("one.key").agg(F.collect_list(F.struct("bucket", "a", "b", "n", "one.anchor", "one.first", "one.last", "bytes")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "bucket", "a", "b", "n", "anchor", "first", "context"]
@@ -232,9 +232,8 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
             for text, cuts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 data = text.as_py().encode()
                 for c in cuts:
-                    # a bucket of more text than a task sorts at a time is split by distance from the anchor
-                    size = c["kinds"] * (c["last"] - c["first"] + width)
-                    share = 1 << 30 if size <= BUCKET_BYTES else 16
+                    # a bucket of more text than a task sorts at a time is split by distance from the anchor, all its contexts alike
+                    share = 1 << 30 if c["bytes"] <= BUCKET_BYTES else 16
                     lo = c["first"]
                     while lo <= c["last"]:
                         distance = c["anchor"] - (lo - c["first"])

@@ -272,3 +272,14 @@ def test_ngram_join_copies_linked_by_the_second_pass(spark):
     texts = {100: copy, 5: copy, 50: near_copy, 1: " ".join([*shared, *tail])} | {200 + i: " ".join([*tail, *(f"m{k}" for k in range(9))]) for i in range(6)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
     assert by_id(ngram_join.jaccard_components(docs), "n_shingles", "component_id") == brute.components(texts)
+
+
+def test_suffix_dedup_splits_a_bucket_as_one(spark, monkeypatch):
+    """A string in a short and in a long context, the bucket's limit between what the two would estimate."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1050)
+    rng, texts = random.Random(21), []
+    for _ in range(12):
+        shared = prose(130, rng)[:440]
+        texts += [shared, prose(90, rng) + shared + prose(90, rng)]
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == brute.repeats_removed(texts, 400)
