@@ -21,6 +21,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 
+#: Over a lower-case text, unnormalised: each way to match a rule of rules() or a phrase of BASE has one of these in it.
+GATE = "licen[cs]|cc[^0-9a-z\\x80-\\uffff]|spdx|copyright|rights|permission|redistribution|public|gpl|bsd|proprietary|unauthorized|cc0|as[^0-9a-z]+is|wtfpl|evil|cecill|mpl|epl|eupl|cddl|odbl|freebsd|under[^0-9a-z]|commons|attribution|fdl|cpl|bsl|busl"
+
+
 @dataclass(frozen=True)
 class Rule:
     priority: int  # less goes first
@@ -132,10 +136,10 @@ def scan(docs: DataFrame, own: list[Rule] | None = None, id_col: str = "doc_id",
     columns are not read. Detections are gathered per text only, and only for texts that any keyword lets through.
     """
     spark = docs.sparkSession
-    own = rules() if own is None else own
     rows = slim(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     low = F.lower("text")
-    gate = low.rlike("licen[cs]|cc[^0-9a-z\\x80-\\uffff]|spdx|copyright|rights|permission|redistribution|public|gpl|bsd|proprietary|unauthorized|cc0|as[^0-9a-z]is|wtfpl|evil|cecill|mpl|epl|eupl|cddl|odbl|freebsd|under[^0-9a-z]")
+    gate = low.rlike(GATE) if own is None else F.lit(True)  # a caller's rules may need other words
+    own = rules() if own is None else own
     scratch = Scratch(spark, "licenses")
     broken = F.split("text", WORD_BREAK, -1)
     counted = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.hash("doc_id", "text").alias("key2"), F.size(F.array_remove(broken, "")).cast("bigint").alias("n_words"), F.when(gate, F.array_remove(F.split(F.translate("text", UPPER, LOWER), WORD_BREAK, -1), "")).alias("words"))

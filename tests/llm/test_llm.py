@@ -283,3 +283,44 @@ def test_suffix_dedup_splits_a_bucket_as_one(spark, monkeypatch):
         texts += [shared, prose(90, rng) + shared + prose(90, rng)]
     rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in rows] == brute.repeats_removed(texts, 400)
+
+
+def samples(pattern):
+    """Texts that a rule's pattern matches: each alternative, with its optional parts left out and put in."""
+    import itertools
+    from re import _parser
+
+    def of(tree):
+        parts = []
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                parts.append([chr(arg)])
+            elif op == "IN":
+                parts.append(["x"] if str(arg[0][0]) == "CATEGORY" else [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])])
+            elif op == "BRANCH":
+                parts.append([x for t in arg[1] for x in of(t)])
+            elif op == "SUBPATTERN":
+                parts.append(of(arg[3]))
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                parts.append(sorted({x * max(arg[0], 1) if n else x * arg[0] for x in of(arg[2]) for n in (0, 1)}))
+            else:
+                raise ValueError(op)
+        return ["".join(x) for x in itertools.product(*parts)]
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_gate_lets_each_rule_through(spark):
+    import re
+
+    for r in licenses.rules():
+        for text in samples(r.pattern):
+            assert re.fullmatch(r.pattern, text)
+            for raw in (text, text.replace(" ", ' "')):
+                assert re.search(licenses.GATE, raw), (r.label, raw)
+    texts = {"Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa-4.0", "Creative Commons Zero 1.0": "cc0-1.0", "GFDL 1.3": "gfdl-1.3", "CPL 1.0": "cpl-1.0", "BSL 1.0": "bsl-1.0", "BUSL 1.1": "busl-1.1", "MIT No Attribution": "mit-0"}
+    rows = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "labels")
+    assert [rows[i][0] for i in range(len(texts))] == list(texts.values())
+    rule = licenses.Rule(0, "own", "house terms", "house", 1.0)
+    assert licenses.scan(spark.createDataFrame([(0, "house terms")], "doc_id long, text string"), [rule]).first().labels == "own"
