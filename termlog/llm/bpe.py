@@ -1,24 +1,31 @@
 """Heap-and-linked-list byte-pair merging for byte-level vocabularies whose words end in a suffix.
 
-Text is cut into chunks at white space, which no token of such a vocabulary crosses; chunks repeat so often
-that most are answered from a bounded cache.
+Texts are cut into chunks at ASCII white space, which no token of such a vocabulary crosses, many texts at a time. Chunks
+repeat so often that only the distinct ones of a run are looked up, and most of those are answered from a bounded cache.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import struct
 import unicodedata
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import keep
 
-#: White space as the vocabulary's own splitter has it; str.split() also takes the four separators below.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Bytes of texts that are cut into chunks at a time.
+RUN_BYTES = 1 << 23
+#: Words up to the last of these many bytes are merged together, with those of like length.
+LOCKSTEP = (8, 16, 32)
+#: Letters whose lower case and composed form are one letter each, then punctuation: most chunks are of this kind.
+PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,!?;:]*)$"
+LOCKSTEP_ROWS = 1 << 15
+_NONE = np.int64(1) << 40
 
 
 def byte_alphabet() -> list[str]:
@@ -53,6 +60,10 @@ class WordBpe:
         for r, (a, b) in enumerate(pairs):
             self.rank[vocab[a]][vocab[b]] = r
         self.made = [vocab[a + b] for a, b in pairs]
+        self.first_ids = np.array([self.inner, self.final], np.int64)
+        codes = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        self.by_code = np.argsort(codes)
+        self.codes, self.made_ids = codes[self.by_code], np.array(self.made, np.int64)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -91,10 +102,6 @@ class WordBpe:
                 heappush(heap, row[new] << bits | h)
         return ids, merges
 
-    def chunks(self, text: str) -> list[str]:
-        """Runs without white space."""
-        return text.split() if _SEPARATORS.search(text) is None else [x for x in _SPACE.split(text) if x]
-
     def words(self, part: str) -> list[str]:
         s = part if part.isascii() else unicodedata.normalize("NFC", part)
         s = s.replace("Σ", "σ").lower()  # letter by letter: no final sigma
@@ -115,10 +122,58 @@ class WordBpe:
         b = word.encode()
         return len(b) - self.merge(b)[1]
 
-    def encode_word(self, word: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        ids = [x for x in self.merge(word.encode())[0] if x >= 0]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs (a, b), or _NONE; -1 is past a word's end."""
+        code = a << 20 | b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.by_code[at], _NONE)
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in each word, ids of all in turn): those of like length advance together, each by its leftmost pair of
+        lowest rank."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        n, parts = np.zeros(len(words), np.int64), []
+        for i in np.flatnonzero(size > LOCKSTEP[-1]).tolist():
+            found = np.array([x for x in self.merge(words[i])[0] if x >= 0])
+            n[i] = len(found)
+            parts.append((np.array([i]), found[None]))
+        for low, width in zip((0, *LOCKSTEP), LOCKSTEP, strict=False):
+            alike = np.flatnonzero((size > low) & (size <= width))
+            for lo in range(0, len(alike), LOCKSTEP_ROWS):
+                own = alike[lo : lo + LOCKSTEP_ROWS]
+                found = self._lockstep([words[i] for i in own.tolist()], size[own], width)
+                n[own] = (found >= 0).sum(axis=1)
+                parts.append((own, found))
+        base, out = np.cumsum(n) - n, np.zeros(int(n.sum()), "<u4")
+        for own, found in parts:
+            has = found >= 0
+            out[(base[own][:, None] + np.arange(found.shape[1]))[has]] = found[has]
+        return n, out
+
+    def _lockstep(self, words: list[bytes], size: np.ndarray, width: int) -> np.ndarray:
+        """Ids [word, place] of words of at most `width` bytes, -1 past the end."""
+        data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        place = np.arange(width)
+        ids = np.where(place < size[:, None], self.first_ids[(place == size[:, None] - 1).astype(np.int8), data], -1)
+        out, live, rank = np.full(ids.shape, -1), np.arange(len(ids)), self.ranks_of(ids[:, :-1], ids[:, 1:])
+        while rank.shape[1]:
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(at)), at]
+            if not (go := best < _NONE).all():
+                out[live[~go], : ids.shape[1]] = ids[~go]
+                ids, rank, live, at, best = ids[go], rank[go], live[go], at[go], best[go]
+            if not len(live):
+                return out
+            row, at, place = np.arange(len(live)), at[:, None], place[:-1]
+            ids = np.take_along_axis(ids, place + (place > at), axis=1)  # the pair's second symbol goes
+            rank = np.take_along_axis(rank, place[:-1] + (place[:-1] > at), axis=1)
+            at = at[:, 0]
+            ids[row, at] = self.made_ids[best]
+            for side in (at - 1, at):  # the two pairs that the new symbol is in
+                has = np.flatnonzero((side >= 0) & (side < rank.shape[1]))
+                rank[has, side[has]] = self.ranks_of(ids[has, side[has]], ids[has, side[has] + 1])
+        out[live, : ids.shape[1]] = ids
+        return out
 
 
 class Cache(dict):
@@ -145,13 +200,72 @@ def counter(path: str) -> tuple[WordBpe, Cache]:
     return bpe, Cache(lambda chunk: sum([words[x] if isinstance(x, str) else 1 for x in bpe.split(chunk)]), 700_000)
 
 
-def encoder(path: str) -> tuple[WordBpe, Cache]:
-    """Cached ids of chunks, as bytes."""
-    bpe = WordBpe(path)
-    words = Cache(bpe.encode_word, 300_000)
-    return bpe, Cache(lambda chunk: b"".join([words[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in bpe.split(chunk)]), 700_000)
+def gather(n: np.ndarray, flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of the chosen ones of the runs of lengths n that make up `flat`."""
+    size = n[which]
+    ends = np.cumsum(size)
+    return size, flat[np.repeat((np.cumsum(n) - n)[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Encoder:
+    """Ids of distinct chunks. Plain words, with punctuation after them, are cut by Arrow; others one by one."""
+
+    def __init__(self, path: str):
+        self.bpe = WordBpe(path)
+
+    def of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in each chunk, ids of all in turn)."""
+        cut = pc.extract_regex(chunks, PLAIN)
+        plain = pc.is_valid(cut).to_numpy(zero_copy_only=False)
+        core, tail = (cut.filter(pa.array(plain)).field(k).dictionary_encode() for k in (0, 1))
+        odd = [self.bpe.split(c) for c in chunks.filter(pa.array(~plain)).to_pylist()]
+        words = pc.utf8_lower(core.dictionary).to_pylist()
+        tails, more = tail.dictionary.to_pylist(), list(dict.fromkeys(x for parts in odd for x in parts if isinstance(x, str)))
+        n, flat = self.bpe.encode_words([x.encode() for x in (*words, *tails, *more)])
+        special = list(self.bpe.special.values())
+        n, flat = np.append(n, np.ones(len(special), np.int64)), np.append(flat, np.array(special, "<u4"))
+        place = {x: i for i, x in enumerate(more, len(words) + len(tails))} | {x: i for i, x in enumerate(special, len(n) - len(special))}
+        pairs = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(words)], axis=1).ravel()
+        in_odd = np.fromiter((place[x] for parts in odd for x in parts), np.int64)
+        sizes, ids = gather(n, flat, np.concatenate([pairs, in_odd]))
+        of_plain, count = len(pairs) // 2, np.fromiter(map(len, odd), np.int64, len(odd))
+        each = np.concatenate([sizes[: 2 * of_plain].reshape(-1, 2).sum(axis=1), np.diff(np.concatenate([[0], np.cumsum(sizes[2 * of_plain :])])[np.concatenate([[0], np.cumsum(count)])])])
+        order = np.empty(len(chunks), np.int64)  # plain chunks came first
+        order[plain], order[~plain] = np.arange(of_plain), np.arange(of_plain, len(chunks))
+        return gather(each, ids, order)
 
 
-def loaded(path: str, make) -> tuple[WordBpe, Cache]:
-    """The vocabulary and its cache, kept by a Python worker from one task to the next."""
+def loaded(path: str, make):
+    """make(path): a vocabulary and its cache, kept by a Python worker from one task to the next."""
     return keep((path, make.__name__), lambda: make(path))
+
+
+def chunk_runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """For runs of rows of about `most` bytes: where each row's chunks begin (one more entry than rows), every chunk's
+    number, and the distinct chunks by number. A null text has none; a longer text is a run of its own."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = np.flatnonzero(np.concatenate([[True], (ends // most)[1:] != (ends // most)[:-1]])) if len(ends) else ends
+    for lo, hi in zip(first, np.append(first[1:], len(ends)), strict=True):
+        parts = pc.ascii_split_whitespace(texts.slice(lo, hi - lo))
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        yield bounds - bounds[0], coded.indices.to_numpy(), coded.dictionary
+
+
+def run_counts(texts: pa.Array, cache: Cache) -> np.ndarray:
+    """Tokens of each text."""
+    out = [np.zeros(0, np.int64)]
+    for bounds, codes, chunks in chunk_runs(texts):
+        each = np.fromiter(map(cache.__getitem__, chunks.to_pylist()), np.int64, len(chunks))
+        out.append(np.diff(np.concatenate([[0], np.cumsum(each[codes])])[bounds]))
+    return np.concatenate(out)
+
+
+def run_ids(texts: pa.Array, encoder: Encoder) -> Iterator[np.ndarray]:
+    """Ids of each text in turn, as little-endian unsigned 32-bit integers."""
+    for bounds, codes, chunks in chunk_runs(texts, 4 * RUN_BYTES):
+        size, ids = gather(*encoder.of(chunks), codes)
+        ends = np.concatenate([[0], np.cumsum(size)])[bounds]
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            yield ids[lo:hi]

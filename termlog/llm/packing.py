@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, loaded
+from .bpe import Encoder, loaded, run_ids
 from .common import Scratch, slim
 
 
@@ -68,13 +68,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with
     ids_field = ", ids array<int>" if with_ids else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, cache = loaded(tokenizer, encoder)
+        encoder = loaded(tokenizer, Encoder)
         end, task, seen = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), {}
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
         for batch in batches:
             rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = b"".join(map(cache.__getitem__, bpe.chunks(text.as_py() or ""))) + end
+            for key, ids in zip(batch.column(0).to_pylist(), run_ids(batch.column(1), encoder), strict=True):
+                data = ids.tobytes() + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     length = len(part) // 4

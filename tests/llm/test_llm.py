@@ -6,13 +6,14 @@ import struct
 import sys
 import zlib
 
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
 from termlog.llm import chat, decontam, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
-from termlog.llm.bpe import WordBpe
+from termlog.llm.bpe import Encoder, counter, run_counts, run_ids
 from termlog.llm.queries import WORD_BPE
 
 RNG = random.Random(11)
@@ -61,12 +62,12 @@ def test_merging_and_counts_equal_the_library(spark, odd, more, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORD_BPE)
-    hard = ["<|endoftext|>a<|startoftext|> b<|endoftext|>", "I'll don't 's'S it's", "ΑΣ ΣΑΣ. İstanbul ǅ", "éà ẛ̣", "a\x1cb c\x85d e f", "日本語 テスト 🎉🎉!!", "x" * 5000, "½ Ⅷ ²³ 1234", "­​ zero", "<|end", "à la carte…—–"]
-    bpe = WordBpe(WORD_BPE)
+    hard = ["<|endoftext|>a<|startoftext|> b<|endoftext|>", "I'll don't 's'S it's", "ΑΣ ΣΑΣ. İstanbul ǅ", "éà ẛ̣", "a\x1cb c\x85d e f", "日本語 テスト 🎉🎉!!", "x" * 5000, "½ Ⅷ ²³ 1234", "­​ zero", "<|end", "à la carte…—–", "a\u00a0b\u2003c", " lead", "<|endoftext|>\u3000x"]
+    ids, (_, counts) = Encoder(WORD_BPE), counter(WORD_BPE)
     for t in [*hard, *(x or "" for x in TEXTS)]:
         want = library.encode(t, add_special_tokens=False).ids
-        got = [y for c in bpe.chunks(t) for x in bpe.split(c) for y in ([x] if isinstance(x, int) else struct.unpack(f"<{len(bpe.encode_word(x)) // 4}I", bpe.encode_word(x)))]
-        assert got == want, t[:50]
+        assert next(run_ids(pa.array([t]), ids)).tolist() == want, t[:50]
+        assert run_counts(pa.array([None, t, "a b", t]), counts).tolist() == [0, len(want), 2, len(want)]
     counts = by_id(token_counts.token_counts(odd, WORD_BPE, limit=100), "n_bytes", "n_tokens", "over_limit")
     for i, t in enumerate(TEXTS):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
