@@ -10,19 +10,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LEFT: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where that is unset (tests, local runs)."""
+    """The folder in spark.checkpoint.dir; a temporary one is set only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="termlog-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -84,6 +86,18 @@ def slim(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(c) for c in columns))
 
 
+def quoted(column: str) -> str:
+    """A column's name as it stands in an expression, dots and all."""
+    return f"`{column.replace('`', '``')}`"
+
+
+def keep_rows(docs: DataFrame, key: Column, gone: DataFrame, column: str) -> DataFrame:
+    """The rows of a table whose key is not in gone(column). They travel in a struct, so no name of theirs can clash."""
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), key.alias("key"))
+    kept = rows.join(gone.select(F.col(column).alias("gone")), F.col("key") == F.col("gone"), "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by `key`; each holds one or more complete groups."""
     held: list[pa.RecordBatch] = []
@@ -106,9 +120,3 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     if held:
         yield pa.Table.from_batches(held)
 
-
-def ensure(table: DataFrame | None, spark: SparkSession, schema: str) -> DataFrame:
-    return table if table is not None else spark.createDataFrame([], schema)
-
-
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

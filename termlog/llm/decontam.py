@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slim
+from .common import Scratch, keep_rows, quoted, slim
 from .line_dedup import content_key
 
 #: Word positions that make a seed.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8))
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8))
 #: Seeds of the benchmark up to which they are broadcast (24 bytes each); beyond, the join shuffles.
 BROADCAST_SEEDS = 2_000_000
 BREAK = "[^\\p{L}\\p{N}]+"
@@ -41,8 +41,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_run: int = 12, min_share
     Lower-cased runs of letters and digits are words. An item is held where, laid beside the document, at least
     `min_share` per cent of its words agree, or where a stretch scores `min_run` with 1 for a word that agrees and -2
     for one that doesn't (the whole item's length, if shorter). Items shorter than a mask have masks of their own
-    length. Null or empty texts hold and match nothing; repeated rows match alike; an empty table gives no rows; other
-    columns are not read. Each document's seeds stay in its row: nothing is shuffled but hits, unless the benchmark has
+    length. The masks find a seed in every pattern of swaps that leaves `min_share` of 75 per cent of items of 15, 17 and 20
+    words, and in all but 6 of the 1,820 ways to swap 4 of 16. Null or empty texts hold and match nothing; repeated rows
+    match alike, as one pair (their key is one); rows with a null id stay apart by their text; an empty table gives no
+    rows; other columns are not read. A text's words and seeds are arrays in its row: about 50 bytes a word. Each document's seeds stay in its row: nothing is shuffled but hits, unless the benchmark has
     over BROADCAST_SEEDS seeds.
     """
     spark = docs.sparkSession
@@ -60,7 +62,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_run: int = 12, min_share
     # the outer form: Spark would else push a test of the array's size below, with the array's definition in it
     exploded = seeded.select("key", "doc_id", "words", "n", F.posexplode_outer("seeds").alias("p", "seed")).where("seed is not null")
     if small:
-        hits = exploded.join(seeds, "seed").select("key", "doc_id", "words", "item_id", F.expr("p % n - item_at").alias("start"))
+        hits = exploded.join(seeds, "seed").select("key", "doc_id", "words", "item_id", F.expr("p % n - item_at").alias("start")).dropDuplicates(["key", "item_id", "start"])
     else:
         found = exploded.select("key", F.expr("p % n").alias("at"), "seed").join(seeds, "seed").select("key", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
         hits = hashed.join(found, "key")
@@ -74,7 +76,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_run: int = 12, min_share
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, all columns kept, that hold no benchmark item; those with a null or empty text stay."""
+    """The documents, all columns and rows kept, that hold no benchmark item.
+
+    Those with a null or empty text stay; repeated rows stay or go together; an empty table, or an empty benchmark,
+    changes nothing; documents and items are read by id and text only, and no column of theirs can clash."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     held = Scratch(docs.sparkSession, "held").save(overlaps(docs, benchmark, **options).select(F.col("key").alias("_held")).distinct(), "held")
-    return docs.join(held, content_key(docs[id_col], docs[text_col]) == held["_held"], "left_anti")
+    return keep_rows(docs, content_key(F.col(quoted(id_col)), F.col(quoted(text_col))), held, "_held")
