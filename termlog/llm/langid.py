@@ -57,11 +57,11 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_langs: int = 512) -> Model:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_langs: int = 128) -> Model:
     """Counts over all rows with a language and a text; each task sends its distinct trigrams only.
 
-    The driver gets at most 2**18 + 2**16 counts for each language, whatever the corpus size; more than `most_langs`
-    languages are an error. No labelled row at all gives a model without languages, which answers `und`.
+    The driver gets at most 2**18 + 2**16 counts for each language, 12 bytes each in packed arrays, whatever the corpus
+    size; more than `most_langs` languages are an error. No labelled row at all gives a model without languages, which answers `und`.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +82,28 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_la
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "kind", "code", "n"])
 
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").mapInArrow(count, "lang string, kind int, code int, n bigint").groupBy("lang", "kind", "code").agg(F.sum("n").alias("n")).collect()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Many counts of one language and kind in a row, as the bytes of two arrays."""
+        names = ["lang", "kind", "codes", "counts"]
+        for batch in batches:
+            lang, kind = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            code, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            groups: dict[tuple[str, int], list[int]] = {}
+            for i, key in enumerate(zip(lang, kind, strict=True)):
+                groups.setdefault(key, []).append(i)
+            rows = [(*key, code[own].astype("<i4").tobytes(), n[own].astype("<i8").tobytes()) for key, own in groups.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, [pa.string(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names)
+
+    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    summed = labelled.mapInArrow(count, "lang string, kind int, code int, n bigint").groupBy("lang", "kind", "code").agg(F.sum("n").alias("n"))
+    rows = summed.mapInArrow(packed, "lang string, kind int, codes binary, counts binary").collect()
     langs = sorted({r["lang"] for r in rows})
+    if len(langs) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
     index = {x: i for i, x in enumerate(langs)}
     tables = [np.zeros((1 << BUCKET_BITS, len(langs)), np.float32), np.zeros((1 << 16, len(langs)), np.float32)]
     for r in rows:
-        tables[r["kind"]][r["code"], index[r["lang"]]] = r["n"]
+        tables[r["kind"]][np.frombuffer(r["codes"], "<i4"), index[r["lang"]]] = np.frombuffer(r["counts"], "<i8")
     return Model(langs, np.log(tables[0] + np.float32(_SMOOTH)), np.log(tables[1] + np.float32(256 * _SMOOTH)))
 
 
@@ -111,7 +127,8 @@ def _words(data: np.ndarray, starts: np.ndarray, model: Model) -> tuple[np.ndarr
 
 
 def mixtures(likely: np.ndarray, owner: np.ndarray, n: int, rounds: int, penalty: float) -> np.ndarray:
-    """Proportions [text, language] of the selected sets; a row of zeros for a text without words."""
+    """Proportions [text, language] of the selected sets; a row of zeros for a text without words. EM runs for `rounds`
+    rounds, the same for all, so that no text's answer depends on those beside it."""
     langs = likely.shape[1]
     out = np.zeros((n, langs))
     if not len(owner) or not langs:
@@ -133,16 +150,19 @@ def mixtures(likely: np.ndarray, owner: np.ndarray, n: int, rounds: int, penalty
     full, whole = em(np.full((len(first), langs), 1.0 / langs))
     place = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
     best, score = None, None
+    going = np.ones(len(first), bool)  # each text stops by itself, at the first size over 2 by which it gains nothing
     for k in range(1, langs + 1):
         pi, value = (full, whole) if k == langs else em(np.where(place < k, full + 1e-9, 0) / np.where(place < k, full + 1e-9, 0).sum(axis=1, keepdims=True))
         value = value - penalty * k * np.log(words[:, 0] + 1)
         if best is None:
             best, score = pi, value
-        else:
-            better = value > score
-            best, score = np.where(better[:, None], pi, best), np.where(better, value, score)
-            if not better.any() and k > 2:
-                break  # no text of this batch gains by a further language
+            continue
+        better = going & (value > score)
+        best, score = np.where(better[:, None], pi, best), np.where(better, value, score)
+        if k > 2:
+            going &= better
+            if not going.any():
+                break
     out[owner[first]] = best
     return out
 
@@ -178,7 +198,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, in which one learned language has at least the share `least`; the others are
-    rejected: `und`, or a mixture without a main language. A null text is rejected. No shuffle, no join."""
+    rejected: `und`, or a mixture without a main language.
+
+    A null or empty text is rejected, as is any text if the model has no language; repeated rows are judged alike; an empty
+    table stays empty; only the text is read, and no other column can clash. No shuffle, no join."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
