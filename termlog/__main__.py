@@ -1,6 +1,7 @@
 """Commands over programs: python -m termlog "load FILE | solve m | query m Path(a, b) | apply r = Del(1, m) | rules D".
 
-Commands are parted by `|` or lines; without an argument they are read from standard input."""
+Commands are parted by `|` outside braces, parentheses and quotes, or by lines; without an argument they are read from
+standard input."""
 
 from __future__ import annotations
 
@@ -12,6 +13,19 @@ from .lang.parser import Parser
 from .modules import Engine
 
 
+def split_commands(text: str) -> list[str]:
+    out, now, depth, quoted = [], "", 0, False
+    for c in text:
+        quoted ^= c == '"'
+        depth += 0 if quoted else (c in "{(") - (c in "})")
+        if not quoted and (c == "|" and depth <= 0 or c == "\n"):
+            out.append(now)
+            now, depth = "", 0
+        else:
+            now += c
+    return [x.strip() for x in [*out, now] if x.strip()]
+
+
 def execute(engine: Engine, command: str, write=print) -> None:
     verb, _, rest = command.strip().partition(" ")
     rest = rest.strip()
@@ -35,6 +49,8 @@ def execute(engine: Engine, command: str, write=print) -> None:
             write(f"{a.result} is {scope} of {a.transform}: {', '.join(sorted(r.relations.known))}")
     elif verb == "rules":
         write(engine.domain(rest).explain())
+    elif verb == "plans":
+        write(engine.solve(rest).explain())
     elif verb:
         raise ValueError(f"unknown command {verb!r}")
 
@@ -45,9 +61,8 @@ def main() -> None:
     spark = SparkSession.builder.appName("termlog").getOrCreate()
     engine = Engine(spark)
     text = " ".join(sys.argv[1:]) if len(sys.argv) > 1 else sys.stdin.read()
-    for line in text.splitlines():
-        for command in line.split("|"):
-            execute(engine, command)
+    for command in split_commands(text):
+        execute(engine, command)
 
 
 if __name__ == "__main__":

@@ -6,17 +6,17 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lang.ast import Binary, Compare, CompositeDef, Compre, Constraint, EnumDef, Expr, FieldDef, HasType, Lit, Module, NoSet, Pred, Program, Require, Rule, Term, TypeDef, TypeRef, Unary, UnionDef, Var
 from .lang.parser import parse, parse_body
-from .plans.analyze import AnalysisError, check_safety, constraint_vars, strata
+from .plans.analyze import AnalysisError, check_safety, constraint_vars, ground, normalized, strata
 from .plans.compile import Body
-from .plans.fixpoint import Relations, evaluate, members
+from .plans.fixpoint import Relations, evaluate, members, run_rule
 
-from .types import PRIMITIVES, Schema, Type
+from .types import PRIMITIVES, Schema, Type, one
 
 
 @dataclass
@@ -114,7 +114,8 @@ class Domain:
         lines = []
         for i, s in enumerate(strata(self.rules, members(self.schema))):
             lines.append(f"stratum {i}{' (recursive)' if s.recursive else ''}: {', '.join(sorted(s.relations))}")
-            lines += [f"  {r}" for r in s.rules]
+            for part in s.parts or (s,):
+                lines += [f"  {'* ' if s.parts and part.recursive else ''}{r}" for r in part.rules]
         return "\n".join(lines)
 
 
@@ -123,7 +124,7 @@ def build(name: str, parts: Parts) -> Domain:
     declared = {t.name for t in parts.types}
     constants = {h.name for r in parts.rules for h in r.heads if not h.args and h.name not in declared}
     schema = Schema.resolve(parts.types, constants)
-    rules = [x for r in parts.rules for x in _expand(r, schema)]
+    rules = list({normalized(x): x for r in parts.rules for x in _expand(r, schema)}.values())  # each once, whatever its names
     for r in rules:
         check_safety(Renamer({n: n for n in schema.constants}).rule(Rule(tuple(h for h in r.heads if h.args), r.body)))
         for h in r.heads:
@@ -180,6 +181,29 @@ class Result:
         df = self.relations[name].select(*out)
         return df.toDF(*columns) if columns else df
 
+    def lookup(self, name: str, **keys) -> DataFrame:
+        """Rows of flat(name) by the values of some columns: a filter that reaches the stored relation."""
+        df = self.flat(name)
+        for column, value in keys.items():
+            df = df.where(F.col(f"`{column}`") == value)
+        return df
+
+    def observed(self, name: str) -> tuple[DataFrame, Observation]:
+        """A relation and an observation of it: how many rows passed, once an action has run. For watching a relation
+        inside a larger plan without another job."""
+        seen = Observation(name)
+        return self.relation(name).observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+    def explain(self, mode: str = "formatted") -> str:
+        """Each rule and the Spark plan of its last evaluation step, over the relations as they are now."""
+        lines = []
+        for i, s in enumerate(strata(self.domain.rules, members(self.domain.schema))):
+            for r in s.rules:
+                lines.append(f"stratum {i}: {r}")
+                for name, df in run_rule(self.engine.spark, self.domain.schema, r, lambda n, _: self.relations[n], self.params):
+                    lines += [f"-- {name}", self.engine.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)]
+        return "\n".join(lines)
+
     def holds(self, name: str) -> bool:
         return not self.relations[name].isEmpty()
 
@@ -305,6 +329,8 @@ class Engine:
             fields = domain.schema.composites[t.name].fields if t.name in domain.schema.composites else None
             if fields is None and t.name not in domain.schema.constants:
                 raise AnalysisError(f"{t.name} is not a constructor")
+            if not ground(Renamer({c: c for c in domain.schema.constants}).expr(t)):
+                raise AnalysisError(f"a fact has no variables: {t}")
             if fields and len(fields) != len(t.args):
                 raise AnalysisError(f"{t.name} takes {len(fields)} arguments: {t}")
             rows.setdefault(t.name, []).append(tuple(domain.schema.python(a, ft) for a, (_, ft) in zip(t.args, fields, strict=True)) if fields else (True,))
@@ -365,7 +391,9 @@ class Engine:
 
 
 def conform(schema: Schema, name: str, df: DataFrame) -> DataFrame:
-    """Columns by position, cast to the relation's types; a scalar for a one-field constructor is wrapped in it."""
+    """Columns by position, cast to the relation's types; a scalar for a one-field constructor is wrapped in it.
+
+    A term has a value in each field, so rows of a table with a null in one aren't terms and are left out."""
     want = schema.relation(name)
     if len(df.columns) != len(want.fields):
         raise AnalysisError(f"{name} has {len(want.fields)} fields, not {len(df.columns)}")
@@ -384,7 +412,19 @@ def conform(schema: Schema, name: str, df: DataFrame) -> DataFrame:
         for n in reversed(names):
             value = F.struct(value.alias(n))
         out.append(value.alias(field_.name))
-    return df.select(*out).distinct()
+    types = [t for _, t in schema.composites[name].fields] if name in schema.composites else []
+    whole = [present(schema, F.col(f"`{w.name}`"), t) for w, t in zip(want.fields, types, strict=False)]
+    return df.select(*out).where(reduce(Column.__and__, whole, F.lit(True))).distinct()
+
+
+def present(schema: Schema, value: Column, t: Type) -> Column:
+    """Whether a column's value has no null where a term has a value: of a union, only the slot that the tag names counts."""
+    if t.plain and t.plain not in schema.constants:
+        fields = schema.composites[t.plain].fields if t.plain in schema.composites else ()
+        return reduce(Column.__and__, [present(schema, value.getField(f), ft) for f, ft in fields], value.isNotNull())
+    tag = value.getField("tag")
+    slots = [(tag != x) | present(schema, value.getField(x), one(x)) for x in sorted(t.leaves) if x not in schema.constants]
+    return reduce(Column.__and__, slots, tag.isNotNull())
 
 
 def retagged(schema: Schema, base: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

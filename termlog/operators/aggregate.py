@@ -9,30 +9,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lang.ast import Compre, Expr, Lit, Var
-from ..types import INTEGER, REAL, Type, one
+from ..types import INTEGER, PRIMITIVES, REAL, Type, one
 
 VALUE = "~value"
+#: Values that the cuts between ranges are drawn from, and ranges that a set's ordinals are worked out in.
+SAMPLE, RANGES = 1024, 64
 LIST = one("~List")
 
 
 def values(body, env, e: Compre, shared: list[str], numeric: bool) -> tuple[DataFrame, Type]:
     """The distinct (shared, value) rows of the heads; of several types, as tagged structs; numbers only, if numeric."""
-    from ..plans.compile import Env, all_of, col
+    from ..plans.compile import Env, col, divides
 
     outer = Env(env.df.select(*map(col, shared)).distinct(), {v: env.types[v] for v in shared}) if shared else None
     needed = set().union(*(_vars(h) for h in e.heads)) | set(shared)
     inner = body.compile(e.body, needed, outer)
-    heads = [body.value(body.plain(h), inner.types) for h in e.heads]
+    heads = [(h, body.value(body.plain(h), inner.types)) for h in e.heads]
     if numeric:
-        real = any(t.leaves & {"Real", "Rational"} for _, t in heads)
+        real = any(t.leaves & {"Real", "Rational"} for _, (_, t) in heads)
         want = REAL if real else INTEGER
-        heads = [(v, t) for v, t in heads if t.leaves & {"Integer", "Natural", "PosInteger", "NegInteger", "Real", "Rational"}]
+        heads = [(h, (v, t)) for h, (v, t) in heads if t.leaves & {"Integer", "Natural", "PosInteger", "NegInteger", "Real", "Rational"}]
     else:
-        want = Type(frozenset().union(*(t.leaves for _, t in heads)))
+        want = Type(frozenset().union(*(t.leaves for _, (_, t) in heads)))
     parts = []
-    for value, t in heads:
+    for h, (value, t) in heads:
         got, test = body.schema.cast(value, t, want)
         df = inner.df if test is None else inner.df.where(test)
+        if divides(h):
+            df = df.where(value.isNotNull())
         parts.append(df.select(*map(col, shared), got.alias(VALUE)))
     if not parts:
         parts = [inner.df.where(F.lit(False)).select(*map(col, shared), F.lit(None).cast("bigint").alias(VALUE))]
@@ -96,8 +100,12 @@ def _ordinal(body, env, e: Compre, args: list[Expr], shared: list[str], name: st
     rows, t = values(body, env, e, shared, False)
     x, have = body.value(args[0], env.types)
     got, test = body.schema.cast(x, have, t)
-    order = Window.partitionBy(*(map(col, shared) if shared else [F.lit(0)])).orderBy(col(VALUE))
-    ranked = rows.withColumn(name, (F.dense_rank().over(order) - 1).cast("bigint")).withColumnRenamed(VALUE, "~key")
+    if shared:
+        order = Window.partitionBy(*map(col, shared)).orderBy(col(VALUE))
+        ranked = rows.withColumn(name, (F.row_number().over(order) - 1).cast("bigint"))
+    else:
+        ranked = _ranked(rows, name, t)
+    ranked = ranked.withColumnRenamed(VALUE, "~key")
     keyed = env.df.withColumn("~key", got if test is None else F.when(test, got))
     default = body.value(args[1], env.types)[0] if len(args) > 1 else None
     out = keyed.join(ranked, [*shared, "~key"], "left").drop("~key")
@@ -106,4 +114,25 @@ def _ordinal(body, env, e: Compre, args: list[Expr], shared: list[str], name: st
     return out.withColumn(name, F.coalesce(col(name), default)), INTEGER
 
 
+def _ranked(rows: DataFrame, name: str, t: Type) -> DataFrame:
+    """Ranks, from 0, of all values of one set. Cuts from a fixed sample deal the values over ranges, each ranked by a task
+    of its own; a range's first rank is the sum of the sizes before it."""
+    v = col_of(VALUE)
+    cuts = []
+    if t.plain in PRIMITIVES:
+        sample = sorted(r[0] for r in rows.orderBy(F.xxhash64(v), v).limit(SAMPLE).collect())
+        cuts = sample[:: SAMPLE // RANGES][1:] if len(sample) == SAMPLE else []
+    if not cuts:  # few values, or terms of several types
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(v)) - 1).cast("bigint"))
+    dealt = rows.withColumn("~range", F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (v >= c).cast("int")))
+    sizes = dealt.groupBy("`~range`").agg(F.count("*").alias("~n"))  # RANGES rows at most
+    starts = sizes.select("`~range`", (F.sum("`~n`").over(Window.orderBy("`~range`")) - F.col("`~n`")).alias("~start"))
+    ranked = dealt.withColumn("~own", F.row_number().over(Window.partitionBy("`~range`").orderBy(v)) - 1).join(F.broadcast(starts), "~range")
+    return ranked.select(v, (F.col("`~start`") + F.col("`~own`")).cast("bigint").alias(name))
+
+
+def col_of(name: str):
+    return F.col(f"`{name}`")
+
+
 __all__ = ["aggregate", "values", "VALUE", "Var"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..lang.ast import Binary, Compare, Compre, Constraint, Expr, HasType, Lit, NoSet, Param, Pred, Term, Unary, Var
 from ..operators.aggregate import aggregate
 from ..types import BOOLEAN, INTEGER, PRIMITIVES, REAL, STRING, Schema, Type, TypeError_, one
-from .analyze import AnalysisError, constraint_vars, expr_vars
+from .analyze import AnalysisError, constraint_vars, expr_vars, variable_split
 
 #: (relation or union, number of the positive scan in its body, or None for one under `no` or in a comprehension)
 Source = Callable[[str, int | None], DataFrame]
@@ -157,8 +157,16 @@ class Body:
             self.arity(e)
             if "~Text" in have.leaves and e.name not in have.leaves:
                 got, test = self.schema.cast(value, have, one("~Text"))
-                made, _ = self.value(e, {})  # a ground term, told by its text
-                tests += [test, got == self.schema.text(made, one(e.name))]
+                if not expr_vars(e) and not _wild(e):  # a ground term, told by its text
+                    made, _ = self.value(e, {})
+                    tests += [test, got == self.schema.text(made, one(e.name))]
+                    return
+                tests += [test, got.startswith(f"{e.name}(")]
+                args = self.schema.arguments(got)
+                for i, (a, (_, t)) in enumerate(zip(e.args, self.schema.composites[e.name].fields, strict=True)):
+                    part, fits = self.schema.parsed(F.get(args, F.lit(i)), t)
+                    tests.append(fits)
+                    self.match(a, part, t, tests, binds)
                 return
             got, test = self.schema.cast(value, have, one(e.name))
             tests.append(test)
@@ -231,12 +239,20 @@ class Body:
             return F.struct(*parts), one(e.name)
         if isinstance(e, Unary):
             value, t = self.value(e.of, types)
-            return (-value if e.op == "-" else ~value), t
+            if e.op == "!":
+                if t.plain != "Boolean":
+                    raise TypeError_(f"{e} needs a Boolean, not {t}")
+                return ~value, t
+            value = self.number(value, t, e)
+            if e.op == "~" and t.leaves & {"Real", "Rational"}:
+                raise TypeError_(f"{e} needs an Integer, not {t}")
+            return (-value if e.op == "-" else F.bitwise_not(value)), t if t.plain in ("Real", "Rational") else INTEGER
         if isinstance(e, Binary):
             (a, ta), (b, tb) = self.value(e.left, types), self.value(e.right, types)
             a, b = self.number(a, ta, e), self.number(b, tb, e)
             real = any(t.plain in ("Real", "Rational") for t in (ta, tb))
             if e.op == "/":
+                b = F.nullif(b, F.lit(0))  # no value, so no row: see defined()
                 return (a / b if real else F.call_function("div", a, b)), REAL if real else INTEGER
             return {"+": a + b, "-": a - b, "*": a * b}[e.op], REAL if real else INTEGER
         raise AnalysisError(f"{e} has no value here")
@@ -289,8 +305,10 @@ class Body:
     def unit(self) -> DataFrame:
         return self.spark.range(1).select(F.lit(True).alias(UNIT))
 
-    def extend(self, env: Env, name: str, value: Column, t: Type) -> None:
+    def extend(self, env: Env, name: str, value: Column, t: Type, partial: bool = False) -> None:
         env.df = (env.df if env.df is not None else self.unit()).withColumn(name, value)
+        if partial:
+            env.df = env.df.where(col(name).isNotNull())
         env.types[name] = Type(t.leaves)
 
     def simple(self, left: list, env: Env) -> bool:
@@ -308,9 +326,9 @@ class Body:
                 if a and b and not _wild(c.left) and not _wild(c.right):
                     env.df = (env.df if env.df is not None else self.unit()).where(self.test(c, env.types))
                 elif c.op == "=" and b and isinstance(c.left, Var) and not c.left.fragments:
-                    self.extend(env, c.left.root, *self.value(c.right, env.types))
+                    self.extend(env, c.left.root, *self.value(c.right, env.types), divides(c.right))
                 elif c.op == "=" and a and isinstance(c.right, Var) and not c.right.fragments:
-                    self.extend(env, c.right.root, *self.value(c.left, env.types))
+                    self.extend(env, c.right.root, *self.value(c.left, env.types), divides(c.left))
                 elif c.op == "=" and (b and isinstance(c.left, Term) or a and isinstance(c.right, Term)):
                     pattern, known = (c.left, c.right) if b and isinstance(c.left, Term) else (c.right, c.left)
                     self.destructure(env, pattern, known)
@@ -359,8 +377,7 @@ class Body:
             if found.types[v].leaves != env.types[v].leaves:
                 value, test = self.schema.cast(col(v), found.types[v], env.types[v])
                 found.df = where(found.df, [test]).withColumn(v, value)
-        shared = sorted(set(found.types) & set(env.types))
-        new = set(found.types) - set(env.types)
+        shared, _, new = variable_split(env.types, found.types)
         if shared:
             env.df = env.df.join(found.df, shared, "inner" if new else "left_semi")
         else:
@@ -414,7 +431,7 @@ class Body:
         for a, (f, t) in zip(head.args, self.schema.composites[head.name].fields, strict=True):
             value, have = self.value(a, env.types)
             got, test = self.schema.cast(value, have, t)
-            tests.append(test)
+            tests += [test, value.isNotNull() if divides(a) else None]
             columns.append(got.alias(f))
         return where(env.df, tests).select(*columns)
 
@@ -423,6 +440,13 @@ def _wild(e: Expr) -> bool:
     return isinstance(e, Var) and e.root == "_" or isinstance(e, Term) and any(map(_wild, e.args))
 
 
+def divides(e: Expr) -> bool:
+    """Whether an expression may lack a value: a quotient by zero has none, so no row comes from it."""
+    if isinstance(e, Binary):
+        return e.op == "/" or divides(e.left) or divides(e.right)
+    return divides(e.of) if isinstance(e, Unary) else isinstance(e, Term) and any(map(divides, e.args))
+
+
 def _literals(c: Constraint) -> int:
     def count(e: Expr) -> int:
         return 1 if isinstance(e, Lit) else sum(map(count, e.args)) if isinstance(e, Term) else 0

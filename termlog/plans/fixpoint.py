@@ -68,8 +68,14 @@ def members(schema: Schema) -> dict[str, set[str]]:
 
 
 def run_stratum(out: Relations, stratum: Stratum, params: dict[str, Lit], max_rounds: int, store: Store) -> None:
+    if stratum.parts:
+        for part in stratum.parts:
+            run_stratum(out, part, params, max_rounds, store)
+            for name in part.relations & set(out.known):
+                out.known[name] = store.save(out.known[name])  # later parts read it more than once
+        return
     derived: dict[str, list[DataFrame]] = {}
-    start = [r for r in stratum.rules if not scans_of(r, stratum, out.schema)]
+    start = [r for r in stratum.rules if not stratum.recursive or not scans_of(r, stratum, out.schema)]
     for r in start:
         for name, df in run_rule(out.spark, out.schema, r, lambda n, _: out[n], params, store=store):
             derived.setdefault(name, []).append(df)

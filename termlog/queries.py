@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import lists
 from .modules import Engine, Result
-from .sources.tables import relation
+from .operators.groups import group_by, join_core
+from .sources.generate import graph_program
+from .sources.tables import random_graph, record, relation
 from .streaming.session import Session
+from .streaming.stream import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +29,7 @@ FACTS = {
     "Line": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "cast(l_quantity as bigint)"], None),
     "Square": ("nation", ["n_nationkey", "n_nationkey * n_nationkey % 25"], None),
     "Ring": ("nation", ["n_nationkey", "(2 * n_nationkey + 1) % 25"], None),
+    "Home": ("customer", ["c_custkey", "nullif(c_nationkey, 3)"], None),
     "Parent": ("customer", ["c_custkey", "c_custkey div 3"], "c_custkey > 0"),
 }
 TYPES = """
@@ -35,6 +40,7 @@ TYPES = """
   Part ::= new (key: Integer, brand: String, size: Integer).
   Order ::= new (key: Integer, cust: Integer, status: String, priority: String).
   Line ::= new (order: Integer, number: Integer, part: Integer, quantity: Integer).
+  Home ::= new (cust: Integer, nation: Integer).
   Node ::= new (id: Integer).
   Square ::= new (src: Node, dst: Node).
   Ring ::= new (src: Node, dst: Node).
@@ -162,12 +168,12 @@ def conforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).load(f"domain Q {{ {TYPES} conforms no Ring(u, u). conforms count({{ n | n is Node(_) }}) = 25. requires atleast 5 Ring. }}").run("Q", facts).conformance()
 
 
-@query("transform_del", f"SELECT src, dst FROM {RING} WHERE src != 7 AND dst != 7")
-def transform_del(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Engine(spark).load("domain G { V ::= new (lbl: Integer). E ::= new (src: V, dst: V). } transform Del (id: Integer, In:: G) returns (Out:: G) { Out.V(x) :- In.V(x), x != %id. Out.E(x, y) :- In.E(x, y), x.lbl != %id, y.lbl != %id. }")
+@query("transform_shift", f"SELECT src + 100 AS src, dst + 100 AS dst FROM {RING} WHERE dst > src")
+def transform_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark).load("domain Road { Town ::= new (no: Integer). Way ::= new (src: Town, dst: Town). } transform Renumber (by: Integer, Old:: Road) returns (New:: Road) { New.Way(New.Town(x), New.Town(y)) :- Old.Way(Old.Town(a), Old.Town(b)), b > a, x = a + %by, y = b + %by. }")
     ring = base(spark, sf_dir, ["Ring"])["Ring"]
-    e.made["g"] = ("G", e.run("G", {"V": ring.select("_0"), "E": ring}).relations.known)
-    return e.apply("h", "Del", 7, "g")["Out"].flat("E")
+    e.made["roads"] = ("Road", e.run("Road", {"Town": ring.select("_0"), "Way": ring}).relations.known)
+    return e.apply("renumbered", "Renumber", 100, "roads")["New"].flat("Way")
 
 
 @query("renamed_domains", f"SELECT 'L' AS side, count(*) AS n FROM (SELECT DISTINCT x.src, y.dst FROM {RING} x JOIN {RING} y ON x.dst = y.src) UNION ALL SELECT 'R', count(*) FROM (SELECT DISTINCT x.src, y.dst FROM {SQUARE} x JOIN {SQUARE} y ON x.dst = y.src)")
@@ -177,28 +183,6 @@ def renamed_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.run("Two", {"L.E": facts["Ring"], "R.E": facts["Square"]}).flat("Out")
 
 
-@query("delta_changes", f"WITH RECURSIVE o AS (SELECT src, dst FROM {CUST} WHERE src <= 200), n AS (SELECT src, dst FROM o WHERE src % 10 != 3 UNION SELECT src, dst FROM {CUST} WHERE src BETWEEN 201 AND 220), p AS (SELECT src, dst FROM o UNION SELECT p.src, o.dst FROM p JOIN o ON p.dst = o.src), q AS (SELECT src, dst FROM n UNION SELECT q.src, n.dst FROM q JOIN n ON q.dst = n.src) SELECT src, dst, 1 AS weight FROM (SELECT * FROM q EXCEPT SELECT * FROM p) UNION ALL SELECT src, dst, -1 FROM (SELECT * FROM p EXCEPT SELECT * FROM q)")
-def delta_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parent = base(spark, sf_dir, ["Parent"])["Parent"]
-    e = Engine(spark).load(f"domain Q {{ {TYPES} {PATH.format(e='Parent', first='Path')} }}")
-    s = Session(e, "Q", {"Parent": parent.where("_0 <= 200")})
-    s.begin()
-    s.delete("Parent", parent.where("_0 <= 200 and _0 % 10 = 3"))
-    s.insert("Parent", parent.where("_0 between 201 and 220"))
-    s.commit()
-    return s.changes("Path").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "weight")
-
-
-@query("insert_changes", f"WITH RECURSIVE o AS (SELECT src, dst FROM {CUST} WHERE src <= 200), n AS (SELECT src, dst FROM {CUST} WHERE src <= 260), p AS (SELECT src, dst FROM o UNION SELECT p.src, o.dst FROM p JOIN o ON p.dst = o.src), q AS (SELECT src, dst FROM n UNION SELECT q.src, n.dst FROM q JOIN n ON q.dst = n.src) SELECT src, dst, 1 AS weight FROM (SELECT * FROM q EXCEPT SELECT * FROM p)")
-def insert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parent = base(spark, sf_dir, ["Parent"])["Parent"]
-    e = Engine(spark).load(f"domain Q {{ {TYPES} {PATH.format(e='Parent', first='Path')} }}")
-    s = Session(e, "Q", {"Parent": parent.where("_0 <= 200")}).begin()
-    s.insert("Parent", parent.where("_0 between 201 and 260"))
-    s.commit()
-    return s.changes("Path").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "weight")
-
-
 # the whole of Parent: batches by the customers' nations, with SQL of their own
 WHOLE = "(SELECT c_custkey AS src, c_custkey // 3 AS dst, c_nationkey AS nation FROM customer WHERE c_custkey > 0)"
 WHOLE_PATHS = "p AS (SELECT src, dst FROM o UNION SELECT p.src, o.dst FROM p JOIN o ON p.dst = o.src), q AS (SELECT src, dst FROM n UNION SELECT q.src, n.dst FROM q JOIN n ON q.dst = n.src)"
@@ -215,8 +199,8 @@ def whole_session(spark: SparkSession, sf_dir: str) -> tuple[Session, Callable[[
     return Session(e, "Q", {"Parent": of("!= 7")}), of
 
 
-@query("delta_changes_whole", f"WITH RECURSIVE o AS (SELECT src, dst FROM {WHOLE} WHERE nation != 7), n AS (SELECT src, dst FROM {WHOLE} WHERE nation != 3), {WHOLE_PATHS} SELECT src, dst, 1 AS weight FROM (SELECT * FROM q EXCEPT SELECT * FROM p) UNION ALL SELECT src, dst, -1 FROM (SELECT * FROM p EXCEPT SELECT * FROM q)")
-def delta_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("delta_changes", f"WITH RECURSIVE o AS (SELECT src, dst FROM {WHOLE} WHERE nation != 7), n AS (SELECT src, dst FROM {WHOLE} WHERE nation != 3), {WHOLE_PATHS} SELECT src, dst, 1 AS weight FROM (SELECT * FROM q EXCEPT SELECT * FROM p) UNION ALL SELECT src, dst, -1 FROM (SELECT * FROM p EXCEPT SELECT * FROM q)")
+def delta_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, of = whole_session(spark, sf_dir)
     s.begin()
     s.delete("Parent", of("= 3"))
@@ -225,9 +209,151 @@ def delta_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.changes("Path").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "weight")
 
 
-@query("insert_changes_whole", f"WITH RECURSIVE o AS (SELECT src, dst FROM {WHOLE} WHERE nation != 7), n AS (SELECT src, dst FROM {WHOLE}), {WHOLE_PATHS} SELECT src, dst, 1 AS weight FROM (SELECT * FROM q EXCEPT SELECT * FROM p)")
-def insert_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("insert_changes", f"WITH RECURSIVE o AS (SELECT src, dst FROM {WHOLE} WHERE nation != 7), n AS (SELECT src, dst FROM {WHOLE}), {WHOLE_PATHS} SELECT src, dst, 1 AS weight FROM (SELECT * FROM q EXCEPT SELECT * FROM p)")
+def insert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, of = whole_session(spark, sf_dir)
     s.begin().insert("Parent", of("= 7"))
     s.commit()
     return s.changes("Path").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "weight")
+
+
+# tables with nulls, partial operators, strata by pattern
+query("null_fields", "SELECT c_custkey AS c, c_nationkey::BIGINT AS n FROM customer WHERE c_nationkey != 3", "Home", "Out ::= new (c: Integer, n: Integer). Out(c, n) :- Home(c, n).", "Out")
+@query("null_closure", CLOSURE.format(e="(SELECT * FROM " + SQUARE + " WHERE dst != 4)") + "SELECT src, dst FROM p")
+def null_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closure over edges some of whose ends are null: rows with a null are no terms."""
+    edges = base(spark, sf_dir, ["Square"])["Square"].selectExpr("_0", "nullif(_1, 4)")
+    return Engine(spark).load(f"domain Q {{ {TYPES} {PATH.format(e='Square', first='Path')} }}").run("Q", {"Square": edges}).flat("Path")
+
+
+@query("null_updates", "SELECT src, dst, -1 AS weight FROM " + RING + " WHERE src < 5 AND dst != 7")
+def null_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session over rows with nulls: what was never a term is neither deleted nor a change."""
+    ring = base(spark, sf_dir, ["Ring"])["Ring"].selectExpr("_0", "nullif(_1, 7) as _1")
+    s = Session(Engine(spark).load(f"domain Q {{ {TYPES} }}"), "Q", {"Ring": ring})
+    s.begin().commit()
+    assert s.changes("Ring").isEmpty()
+    s.begin().delete("Ring", ring.where("_0 < 5"))
+    s.commit()
+    return s.changes("Ring").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "weight")
+
+
+query("unary_ops", "SELECT n_nationkey::BIGINT AS k, (-n_nationkey)::BIGINT AS neg, (~n_nationkey)::BIGINT AS inv FROM nation", "Nation", "Out ::= new (k: Integer, neg: Integer, inv: Integer). Out(k, a, b) :- Nation(k, _, _), a = -k, b = ~k.", "Out")
+query("division_by_zero", "SELECT n_nationkey::BIGINT AS k, (100 // n_regionkey)::BIGINT AS q FROM nation WHERE n_regionkey != 0", "Nation", "Out ::= new (k: Integer, q: Integer). Out(k, q) :- Nation(k, _, r), q = 100 / r.", "Out")
+query("pattern_strata", "SELECT 1 AS kind, n_nationkey::BIGINT AS x FROM nation UNION ALL SELECT 3, n_nationkey FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 2, n_nationkey FROM nation WHERE n_regionkey != 2", "Nation", "Mark ::= new (kind: Integer, x: Integer). Mark(1, x) :- Nation(x, _, _). Mark(2, x) :- Mark(1, x), no Mark(3, x). Mark(3, x) :- Mark(1, x), Nation(x, _, 2).", "Mark")
+query("ordinal_all", "SELECT o_orderkey AS o, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS fromtop FROM orders", "Order", "Out ::= new (o: Integer, fromtop: Integer). Out(o, t) :- Order(o, _, _, _), n = toOrdinal(o, 0, { x | Order(x, _, _, _) }), m = count({ x | Order(x, _, _, _) }), t = m - n - 1.", "Out")
+query("absence_as_count", f"SELECT n_nationkey::BIGINT AS n FROM nation WHERE n_nationkey NOT IN (SELECT dst FROM {SQUARE})", "Nation Square", "Out ::= new (n: Integer). Out(n) :- Nation(n, _, _), c = count({ x | Square(x, Node(n)) }), c = 0.", "Out")
+query("state_search", "WITH RECURSIVE s(a, b) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT unnest([7, a, 0, a, a - least(a, 5 - b), a + least(b, 7 - a)]), unnest([b, 5, b, 0, b + least(a, 5 - b), b - least(b, 7 - a)]) FROM s) SELECT a, b FROM s", "Nation", "Jugs ::= new (a: Integer, b: Integer). Jugs(0, 0) :- Nation(0, _, _). Jugs(7, b), Jugs(a, 5), Jugs(0, b), Jugs(a, 0) :- Jugs(a, b). Jugs(0, t) :- Jugs(a, b), t = a + b, t <= 5. Jugs(r, 5) :- Jugs(a, b), t = a + b, t > 5, r = t - 5. Jugs(t, 0) :- Jugs(a, b), t = a + b, t <= 7. Jugs(7, r) :- Jugs(a, b), t = a + b, t > 7, r = t - 7.", "Jugs")
+
+
+@query("recursive_terms", "SELECT DISTINCT n_regionkey::BIGINT AS a, n_nationkey::BIGINT AS b, n_name AS name FROM nation")
+def recursive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms built by rules and taken apart again, through three levels."""
+    r = solve(spark, sf_dir, ["Nation"], "Leaf ::= new (name: String). Chain ::= new (no: Integer, of: Leaf, rest: Chain + {END}). Out ::= new (a: Integer, b: Integer, name: String). Chain(k, l, END) :- Nation(k, n, _), l = Leaf(n). Chain(r, Leaf(\"region, (so)\"), c) :- c is Chain(k, Leaf(n), END), Nation(k, n, r). Out(a, b, n) :- Chain(a, _, Chain(b, Leaf(n), END)).")
+    return r.flat("Out")
+
+
+@query("pattern_lookup", CLOSURE.format(e=RING) + "SELECT 'lookup' AS way, dst FROM p WHERE src = 3 UNION ALL SELECT 'pattern', dst FROM p WHERE src = 3")
+def pattern_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one key, by a filter and by a pattern."""
+    r = solve(spark, sf_dir, ["Ring"], PATH.format(e="Ring", first="Path"))
+    found = r.lookup("Path", src=3).select(F.lit("lookup").alias("way"), "dst")
+    return found.unionByName(r.query("Path(Node(3), Node(y))", ["y"]).select(F.lit("pattern").alias("way"), F.col("y").alias("dst")))
+
+
+# raw operations on groups and keys
+@query("raw_groups", "SELECT o_custkey AS c, count(*) AS n, sum(o_orderkey)::BIGINT AS total, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS kinds FROM orders GROUP BY o_custkey")
+def raw_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = base(spark, sf_dir, ["Order"])["Order"].toDF("o", "c", "status", "priority")
+    g = group_by(orders, "c")
+    return g.group_count().join(g.group_sum("o"), "c").join(g.group_to_set("status", "kinds"), "c").select("c", "n", "total", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("raw_join", "SELECT DISTINCT c_nationkey::BIGINT AS nation, o_orderpriority AS priority FROM customer JOIN orders ON c_custkey = o_custkey")
+def raw_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = base(spark, sf_dir, ["Customer", "Order"])
+    return join_core(facts["Customer"].toDF("c", "nation"), facts["Order"].toDF("o", "c", "status", "priority"), ["c"], F.col("nation").cast("bigint").alias("nation"), "priority")
+
+
+# models, wildcards, unions, sources
+@query("model_facts", "SELECT * FROM (VALUES (1, 2), (2, 9), (5, 1)) v(src, dst)")
+def model_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that includes another, its facts under aliases."""
+    e = Engine(spark).load("domain Roads { Town ::= new (no: Integer). Way ::= new (src: Town, dst: Town). } model west of Roads { a is Town(1). b is Town(2). Way(a, b). } model all of Roads includes west { c is Town(9). Way(b, c). Way(Town(5), a). Town(1). }")
+    return e.solve("all").flat("Way").selectExpr("cast(src as int) as src", "cast(dst as int) as dst")
+
+
+@query("wildcard_copy", f"SELECT 'Town' AS kind, count(DISTINCT src) AS n FROM {RING} UNION ALL SELECT 'Way', count(*) FROM {RING}")
+def wildcard_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transform that copies every constructor by one rule."""
+    e = Engine(spark).load("domain Road { Town ::= new (no: Integer). Way ::= new (src: Town, dst: Town). } transform Same (Old:: Road) returns (New:: Road) { New._(x) :- Old._(x). }")
+    ring = base(spark, sf_dir, ["Ring"])["Ring"]
+    e.made["roads"] = ("Road", e.run("Road", {"Town": ring.select("_0"), "Way": ring}).relations.known)
+    out = e.apply("copied", "Same", "roads")["New"]
+    return out.relation("Town").agg(F.count("*").alias("n")).select(F.lit("Town").alias("kind"), "n").unionByName(out.relation("Way").agg(F.count("*").alias("n")).select(F.lit("Way").alias("kind"), "n"))
+
+
+@query("nested_union", "SELECT 'Region(' || r_regionkey || ', \"' || r_name || '\")' AS term FROM region UNION ALL SELECT 'Customer(' || c_custkey || ', ' || c_nationkey || ')' FROM customer WHERE c_nationkey < 2 UNION ALL SELECT 'Small(' || s_suppkey || ')' FROM supplier WHERE s_nationkey = 1")
+def nested_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = solve(spark, sf_dir, ["Region", "Customer", "Supplier"], "Small ::= new (no: Integer). Place ::= Region + Small. Thing ::= Place + Customer. Held ::= new (t: Thing). Small(s) :- Supplier(s, 1). Held(t) :- t is Thing, t : Place. Held(t) :- t is Customer(_, n), n < 2.")
+    return r.flat("Held", ["term"])
+
+
+@query("random_graph_size", "SELECT 50::BIGINT AS nodes, 120::BIGINT AS edges, true AS inside")
+def random_graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = random_graph(spark, 50, 120, seed=9)
+    return g["Node"].agg(F.count("*").alias("nodes")).crossJoin(g["Edge"].distinct().agg(F.count("*").alias("edges"), F.max(F.greatest("src", "dst") < 50).alias("inside")))
+
+
+@query("generated_program", "SELECT 12::BIGINT AS nodes, 30::BIGINT AS edges")
+def generated_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program made as text, parsed and solved."""
+    e = Engine(spark).load(graph_program("Gen", "Node ::= new (id: Integer). Edge ::= new (src: Node, dst: Node). Size ::= new (nodes: Integer, edges: Integer). Size(n, m) :- n = count({ x | x is Node(_) }), m = count({ x | x is Edge(_, _) }).", 12, 30, seed=4))
+    return e.solve("Gen_facts").flat("Size")
+
+
+@query("record_facts", "SELECT * FROM (VALUES (4, 8), (8, 15)) v(src, dst)")
+def record_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts from nested records, inserted as terms."""
+    s = Session(Engine(spark).load(f"domain Q {{ {TYPES} }}"), "Q").begin()
+    for x in ({"Ring": {"src": {"Node": 4}, "dst": {"Node": [8]}}}, {"Ring": [{"Node": 8}, {"Node": 15}]}):
+        s.insert(record(x))
+    s.commit()
+    return s.result.flat("Ring").selectExpr("cast(src as int) as src", "cast(dst as int) as dst")
+
+
+@query("list_functions", "SELECT r, n, array_to_string(list_reverse(keys), ',') AS backwards, keys[2] AS second, array_to_string(list_append(keys, 99), ',') AS longer FROM (SELECT n_regionkey::BIGINT AS r, count(*) AS n, list(n_nationkey::BIGINT ORDER BY n_nationkey) AS keys FROM nation GROUP BY n_regionkey)")
+def list_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = base(spark, sf_dir, ["Nation"])["Nation"].selectExpr("cast(_2 as bigint) as r", "cast(_0 as bigint) as k")
+    keys, text = F.col("keys"), lambda xs: F.array_join(xs.cast("array<string>"), ",")
+    return group_by(nations, "r").group_to_set("k", "keys").select("r", lists.length(keys).alias("n"), text(lists.reverse(keys)).alias("backwards"), lists.nth(keys, 1).alias("second"), text(lists.push(keys, F.lit(99).cast("bigint"))).alias("longer"))
+
+
+# sessions: scripts, rollback, keys, streams
+@query("command_script", "SELECT * FROM (VALUES ('Hop(Node(20), Node(40))', 1), ('Hop(Node(30), Node(50))', 1), ('Hop(Node(20), Node(40))', -1)) v(term, weight)")
+def command_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Session(Engine(spark).load(f"domain Q {{ {TYPES} Hop ::= new (src: Node, dst: Node). Hop(a, c) :- Ring(a, b), Ring(b, c). }}"), "Q")
+    both = s.execute("start; insert Ring(Node(20), Node(30)); commit; start; insert Ring(Node(30), Node(40)), insert Ring(Node(40), Node(50)); commit dump_changes; start; insert Ring(Node(1), Node(1)); rollback; start; delete Ring(Node(20), Node(30)); commit dump_changes;")
+    return both[0].unionByName(both[1]).where("relation = 'Hop'").select("term", "weight")
+
+
+@query("rollback_and_keys", f"SELECT src, dst, -1 AS weight FROM {RING} WHERE src IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def rollback_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was rolled back leaves no trace; a deletion by key takes every row of the key."""
+    facts = base(spark, sf_dir, ["Ring", "Nation"])
+    s = Session(Engine(spark).load(f"domain Q {{ {TYPES} }}"), "Q", {"Ring": facts["Ring"]}).begin()
+    s.insert("Ring", facts["Ring"].selectExpr("_1", "_0"))
+    s.rollback()
+    s.begin().delete_key("Ring", facts["Nation"].where("_2 = 2").select(F.struct(F.col("_0").cast("bigint").alias("id")).alias("src")))
+    s.commit()
+    return s.changes("Ring").select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "weight")
+
+
+@query("stream_epochs", CLOSURE.format(e=RING) + "SELECT src, dst FROM p")
+def stream_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that arrive as a stream; each micro-batch is a transaction."""
+    s = Session(Engine(spark).load(f"domain Q {{ {TYPES} {PATH.format(e='Ring', first='Path')} }}"), "Q")
+    nations = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/nation.parquet").schema).option("pathGlobFilter", "nation.parquet").parquet(sf_dir)
+    ring = nations.selectExpr("n_nationkey as _0", "(2 * n_nationkey + 1) % 25 as _1")
+    attach(s, ring, "Ring", f"{s.store.base}/stream", trigger={"availableNow": True}).awaitTermination()
+    return s.result.flat("Path")

@@ -2,6 +2,10 @@
 
 Insertions into strata without negation or aggregates above them continue the semi-naive loop from the inserted rows;
 otherwise the strata that a change reaches are computed anew, and only those.
+
+Relations are lists of stored parts: an insertion adds a part with the new rows only, and the parts are written as one
+when there are many. Parts that later commits supersede stay until the session ends, as DataFrames handed out earlier
+may still read them.
 """
 
 from __future__ import annotations
@@ -21,6 +25,11 @@ from ..plans.store import Store
 from ..sources.commands import Command, parse_commands
 
 
+#: Parts of a relation beyond which they are written as one, and rows of an update up to which it is broadcast.
+MOST_PARTS = 32
+BROADCAST_ROWS = 200_000
+
+
 class TransactionError(RuntimeError):
     pass
 
@@ -34,6 +43,7 @@ class Session:
         self.base: dict[str, DataFrame] = {}
         self.done: dict[str, DataFrame] = {}
         self.before: dict[str, DataFrame] = {}
+        self.parts: dict[str, tuple[DataFrame, list[str]]] = {}  # a relation's state and the paths that hold it
         self.callbacks: list[Callable[[str, DataFrame], None]] = []
         self.pending: dict[str, list[tuple[str, DataFrame]]] | None = None
         self.begin()
@@ -89,9 +99,20 @@ class Session:
         for name, updates in pending.items():
             was = base.get(name, self.spark.createDataFrame([], self.schema.relation(name)))
             now = was
+            if all(kind == "+" for kind, _ in updates):
+                new = self.store.save(reduce(DataFrame.unionByName, [df for _, df in updates]).distinct())
+                small = F.broadcast(new) if new.count() <= BROADCAST_ROWS else new
+                known = was.join(small, new.columns, "left_semi")  # the base is scanned, not shuffled, for a small update
+                more = self.store.save(new.join(known, new.columns, "left_anti"))
+                if not more.isEmpty():
+                    added[name] = more
+                    base[name] = self._extended(name, was, [self.store.paths[-1]])
+                else:
+                    base[name] = was
+                continue
             for kind, df in updates:
                 now = now.unionByName(df).distinct() if kind == "+" else now.join(df, df.columns, "left_anti")
-            now = self.store.save(now)
+            now = self._stored(name, now)
             more = now.join(was, now.columns, "left_anti")
             if any(kind != "+" for kind, _ in updates) and not was.join(now, was.columns, "left_anti").isEmpty():
                 removed.add(name)
@@ -104,6 +125,25 @@ class Session:
             for name in self.touched(added, removed):
                 f(name, self.changes(name))
 
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        out = self.store.save(df)
+        self.parts[name] = (out, [self.store.paths[-1]])
+        return out
+
+    def _extended(self, name: str, was: DataFrame, more: list[str]) -> DataFrame:
+        """A relation with parts added to its state before."""
+        paths = [*self._paths(name, was), *more]
+        out = self.store.read(self.schema.relation(name), *paths)
+        if len(paths) > MOST_PARTS:
+            return self._stored(name, out)
+        self.parts[name] = (out, paths)
+        return out
+
+    def _paths(self, name: str, df: DataFrame) -> list[str]:
+        """Where a state of a relation is stored; it is written if it isn't."""
+        held = self.parts.get(name)
+        return list(held[1]) if held and held[0] is df else [self.store.write(df)]
+
     def touched(self, added: Mapping, removed: set[str]) -> list[str]:
         seen = set(added) | removed
         for s in self.strata:
@@ -127,12 +167,12 @@ class Session:
                 done |= {n: self.done[n] for n in s.relations if n in self.done}
                 continue
             negative = {u.relation for r in s.rules for u in uses(r.body, of) if u.negative}
-            fresh = not self.done or broken & reads or removed & s.relations or negative & (set(grown) | broken)
+            fresh = bool(s.parts) or not self.done or broken & reads or removed & s.relations or negative & (set(grown) | broken)
             out = Relations(self.spark, self.schema, done | {n: base[n] for n in s.relations if n in base})
             if fresh:
                 run_stratum(out, s, {}, self.engine.max_rounds, self.store)
                 for n in s.relations & set(out.known):
-                    out.known[n] = self.store.save(out.known[n])
+                    out.known[n] = self._stored(n, out.known[n])
                     was = self.done.get(n)
                     if was is None:
                         grown[n] = out.known[n]
@@ -174,8 +214,11 @@ class Session:
                         made.setdefault(n, []).append(df)
                 k += 1
         delta = {n: reduce(DataFrame.unionByName, parts).distinct() for n, parts in made.items()}
-        full = {n: [self.store.write(self.done[n])] for n in s.relations if n in self.done}
+        full = {n: self._paths(n, self.done[n]) for n in s.relations if n in self.done}
         paths = loop(out, s, full, delta, {}, self.engine.max_rounds, self.store)
+        for n, more in paths.items():
+            was = self.done.get(n)
+            out.known[n] = self._extended(n, was, more) if was is not None else self.store.read(self.schema.relation(n), *more)
         return {n: self.store.read(self.schema.relation(n), *p) for n, p in paths.items()}
 
     # results

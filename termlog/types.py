@@ -121,6 +121,16 @@ class Schema:
             return self.unions[name]
         raise TypeError_(f"type {name} is not defined")
 
+    def is_primitive(self, name: str) -> bool:
+        return name in PRIMITIVES
+
+    def is_composite(self, name: str) -> bool:
+        return name in self.composites
+
+    def is_union(self, name: str) -> bool:
+        """Of types or of an enumeration's values."""
+        return name in self.unions
+
     # Spark representation
     def spark(self, t: Type) -> T.DataType:
         if t.plain and t.plain not in self.constants:
@@ -168,7 +178,7 @@ class Schema:
             return value.cast("double"), None
         parts = {x: self._part(value, have, x) for x in sorted(have.leaves)}
         if want.plain and want.plain not in self.constants:
-            for leaf, (part, test) in parts.items():
+            for leaf, (part, test) in sorted(parts.items(), key=lambda x: x[0] != want.plain):
                 if leaf == want.plain or leaf in _INTEGERS and want.plain in _INTEGERS:
                     return part, _both(test, self._admits(part, want))
                 if want.plain == "~Text" and leaf in self.composites:
@@ -250,6 +260,64 @@ class Schema:
         args = [self.text(value.getField(f), t) for f, t in fields]
         return F.concat(F.lit(f"{leaf}("), F.concat_ws(", ", *args), F.lit(")")) if fields else F.lit(leaf)
 
+    def arguments(self, text: Column) -> Column:
+        """The texts of a term's arguments, from its canonical text: commas and the outer parentheses count only where no
+        other parenthesis or quote is open. One pass over the text's tokens, in the JVM."""
+        tokens = F.regexp_extract_all(text, F.lit(r'"[^"]*"|[(),]|[^"(),]+'), F.lit(0))
+        start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+
+        def step(s: Column, x: Column) -> Column:
+            depth, now, done = s["depth"], s["now"], s["done"]
+            after = depth + F.when(x == "(", 1).when(x == ")", -1).otherwise(0)
+            ends = ((x == ",") & (depth == 1)) | ((x == ")") & (depth == 1))
+            taken = F.when((depth == 0) | ends, F.lit("")).otherwise(F.concat(now, F.when(now == "", F.ltrim(x)).otherwise(x)))
+            return F.struct(after.alias("depth"), taken.alias("now"), F.when(ends, F.concat(done, F.array(now))).otherwise(done).alias("done"))
+
+        return F.aggregate(tokens, start, step, lambda s: s["done"])
+
+    def parsed(self, text: Column, want: Type) -> tuple[Column, Column]:
+        """(the value of type `want` that a canonical text stands for, whether it stands for one)."""
+        made = [(test, part, x) for x in sorted(want.leaves) for part, test in [self._parsed_leaf(text, x)]]
+        if want.plain and want.plain not in self.constants:
+            test, part, _ = made[0]
+            admitted = self._admits(part, want)
+            return F.when(test, part), test if admitted is None else test & F.coalesce(F.when(test, admitted), F.lit(False))
+        out = None
+        for test, part, x in made:
+            value = self._tagged(F.when(test, part), x, want)
+            out = F.when(test, value) if out is None else out.when(test, value)
+        any_of = made[0][0]
+        for test, _, _ in made[1:]:
+            any_of = any_of | test
+        return out, any_of
+
+    def _parsed_leaf(self, text: Column, leaf: str) -> tuple[Column, Column]:
+        if leaf in self.constants:
+            return F.lit(None), text == leaf
+        if leaf == "~Text":
+            return text, text.rlike(r"^[A-Za-z_][^(\"]*\(")
+        if leaf == "String":
+            return F.substring(text, F.lit(2), F.length(text) - 2), text.startswith('"')
+        if leaf == "Boolean":
+            return text == "true", text.isin("true", "false")
+        if leaf in PRIMITIVES:
+            whole = leaf not in ("Real", "Rational")
+            test = text.rlike(r"^-?[0-9]+$" if whole else r"^-?[0-9]+\.[0-9]+(E-?[0-9]+)?$")
+            value = F.when(test, text).cast(PRIMITIVES[leaf])
+            lo, hi = BOUNDS.get(leaf, (None, None))
+            for bound in [value >= lo] * (lo is not None) + [value <= hi] * (hi is not None):
+                test = test & F.coalesce(bound, F.lit(False))
+            return value, test
+        fields = self.composites[leaf].fields
+        if not fields:
+            return self.constant(leaf), text == leaf
+        args, test, parts = self.arguments(text), text.startswith(f"{leaf}("), []
+        for i, (f, t) in enumerate(fields):
+            value, fits = self.parsed(F.get(args, F.lit(i)), t)
+            parts.append(value.alias(f))
+            test = test & F.coalesce(fits, F.lit(False))
+        return F.struct(*parts), test
+
     # literal values for createDataFrame
     def python(self, e: Expr, want: Type):
         """A ground term as the Python value of a column of type `want`."""

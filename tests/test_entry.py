@@ -5,7 +5,7 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ("two_hop", "agg_count_corr", "agg_union_head", "type_range", "agg_topk", "closure_ring", "transform_del", "conforms")
+SAMPLE = ("two_hop", "agg_count_corr", "agg_union_head", "type_range", "agg_topk", "closure_ring", "transform_shift", "pattern_strata", "null_updates", "recursive_terms", "conforms")
 
 
 def test_registered():
@@ -32,7 +32,7 @@ def test_sql_agrees(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", ["delta_changes_whole", "insert_changes_whole"])
+@pytest.mark.parametrize("name", ["delta_changes", "insert_changes"])
 def test_whole_relation_changes(spark, name):
     import __spark_entry__ as e
     from termlog.queries import base, whole_session
