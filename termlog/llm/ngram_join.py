@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, release, slim
+from .common import Scratch, grouped, keep_rows, quoted, release, slim
 from .components import components
 from .hashing import mix, shingles, text_batches
 
@@ -31,9 +31,15 @@ SMALL = 16
 PART = 2048
 #: Rows of (doc_id, a few numbers) up to which a table is broadcast; beyond, its join shuffles.
 BROADCAST_ROWS = 200_000
-#: Tasks that the blocks of one cluster are dealt over, and pairs that one adds up before it sends them on.
-SPREAD = 4
-HELD_PAIRS = 1 << 20
+#: Rows of one cluster's blocks that a task searches, and pairs that it adds up before it sends them on.
+DEAL_ROWS = 2048
+HELD_PAIRS = 1 << 19
+#: A shingle whose bucket holds so many times the mean is hot: its documents are dealt over so many tasks.
+HOT = 16
+SALTS = 64
+#: Hashes of a set that travel in one row, so that Arrow batches of long texts stay small, and bytes of a batch made.
+SET_PART = 1024
+BATCH_BYTES = 1 << 20
 #: One shared block is asked for each so many shingles of the smaller set, besides the first.
 SHARE = 50
 #: Pairs of one leader that one task verifies.
@@ -98,9 +104,9 @@ class Node:
             self.children = (Node(vectors, sizes, order[: len(order) // 2]), Node(vectors, sizes, order[len(order) // 2 :]))
 
 
-def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of rows in different components (and in different parts, if given two) whose bound allows a link."""
-    out: list[tuple[int, int]] = []
+def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in different components (and in different parts, if given two) whose bound allows a link, those of
+    two leaves at a time."""
     stack = [(root := Node(vectors, sizes, np.arange(len(sizes))), root)]
     while stack:
         a, b = stack.pop()
@@ -125,8 +131,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray, pe
         if len(i):
             bound = np.minimum(vectors[i], vectors[j]).sum(axis=1, dtype=np.int64)
             ok = linked(sizes[i], sizes[j], bound, percent)
-            out += zip(i[ok].tolist(), j[ok].tolist(), strict=True)
-    return out
+            yield i[ok], j[ok]
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -173,8 +178,9 @@ def _bucket_counts(scanned: DataFrame) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(key, doc_id): the first shingles of each set, rarer first. A task emits a set that it has just seen once only."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    """(key, doc_id, salt): the first shingles of each set, rarer first. A task emits a set that it has just seen once
+    only. salt is -1 but for hot keys."""
+    sent, hot = docs.sparkSession.sparkContext.broadcast(counts), HOT * max(counts.mean(), 1)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -182,7 +188,7 @@ def _keys(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in text_batches(batch, 1):
-                found, owner = [], []
+                found, owner, salt = [], [], []
                 for i, h in enumerate(shingles(texts), first):
                     if not len(h) or (own := h.tobytes() if len(h) < 4 else (len(h), int(mix(h).sum(dtype=np.uint64)), int(h[0]))) in seen:
                         continue
@@ -194,41 +200,41 @@ def _keys(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                     order = np.argsort(rare, kind="stable")[:size]  # h is sorted, so ties go by hash
                     found.append(h[order])
                     owner.append(np.full(size, ids[i], np.int64))
+                    salt.append(np.where(rare[order] > hot, ids[i] % SALTS, -1).astype(np.int32))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(salt))], ["key", "doc_id", "salt"])
 
-    return docs.where("doc_id is not null").mapInArrow(keys, "key bigint, doc_id bigint")
+    return docs.where("doc_id is not null").mapInArrow(keys, "key bigint, doc_id bigint, salt int")
 
 
 def _blocks(keys: DataFrame) -> DataFrame:
-    """(key, doc_id) of keys with more than one document. Streams: no block is held."""
+    """(key, doc_id) of keys with more than one document, or hot. Streams: no block is held."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, waiting = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc = (batch.column(i).to_numpy() for i in (0, 1))
+            key, doc, salt = (batch.column(i).to_numpy() for i in range(3))
             if waiting is not None:
-                key, doc = np.append(waiting[0], key), np.append(waiting[1], doc)
+                key, doc, salt = (np.append(w, c) for w, c in zip(waiting, (key, doc, salt), strict=True))
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
-            keep = size > 1
+            keep = (size > 1) | (salt[first] >= 0)
             keep[0] |= waiting is None and key[0] == last_key
-            waiting = None if keep[-1] else (key[-1:], doc[-1:])
+            waiting = None if keep[-1] else (key[-1:], doc[-1:], salt[-1:])
             last_key = key[-1]
             rows = np.repeat(keep, size)
             yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(doc[rows])], ["key", "doc_id"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(blocks, "key bigint, doc_id bigint")
+    return keys.repartition("key", "salt").sortWithinPartitions("key", "doc_id").mapInArrow(blocks, "key bigint, doc_id bigint")
 
 
 def _star_pairs(blocks: DataFrame, scratch: Scratch) -> DataFrame:
     """(x, y, shared): each document y with the leaders x of its blocks, and of how many."""
     degree = scratch.save(blocks.groupBy("doc_id").agg(F.count("*").alias("degree")), "degree")
-    by_key = Window.partitionBy("key")
-    led = blocks.join(sized(degree), "doc_id").withColumn("leader", F.max(F.struct(F.col("degree"), -F.col("doc_id"))).over(by_key))
-    return led.select((-F.col("leader.col2")).alias("x"), F.col("doc_id").alias("y")).where("x != y").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    leaders = blocks.join(sized(degree), "doc_id").groupBy("key").agg(F.max(F.struct(F.col("degree"), -F.col("doc_id"))).alias("leader"))
+    return blocks.join(leaders, "key").select((-F.col("leader.col2")).alias("x"), F.col("doc_id").alias("y")).where("x != y").groupBy("x", "y").agg(F.count("*").alias("shared"))
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -257,44 +263,87 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch
     wanted = dealt.union(own).groupBy("doc_id").agg(F.collect_list(F.xxhash64("x", "part")).alias("groups"), F.collect_list(F.col("x") == F.col("doc_id")).alias("leads"))
     wanted = sized(scratch.save(wanted, name))
 
+    names = ["group", "follows", "doc_id", "n", "a", "part", "hashes"]
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        rows, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
         for batch in batches:
             groups, leads, ids = (batch.column(i).to_pylist() for i in (2, 3, 0))
             for first, run in text_batches(batch, 1, 1 << 18):
-                rows = [(g, not lead, ids[i], h.view(np.int64)) for i, h in enumerate(shingles(run), first) for g, lead in zip(groups[i], leads[i], strict=True)]
-                for at in range(0, len(rows), 256):
-                    g, f, d, h = zip(*rows[at : at + 256], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(f, pa.bool_()), pa.array(d, pa.int64()), pa.array([x.tobytes() for x in h], pa.binary())], ["group", "follows", "doc_id", "hashes"])
+                for i, h in enumerate(shingles(run), first):
+                    own = int(mix(h).sum(dtype=np.uint64).astype(np.int64))
+                    for part, lo in enumerate(range(0, len(h), SET_PART)):
+                        data = h[lo : lo + SET_PART].tobytes()
+                        for g, lead in zip(groups[i], leads[i], strict=True):
+                            rows.append((g, not lead, ids[i], len(h), own, part, data))
+                            size += len(data)
+                            if size > BATCH_BYTES:
+                                yield made()
+                                rows, size = [], 0
+        yield made()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leaders = None, []
+        """Sets come part by part, a group's leaders first; of the others only the words shared so far are kept."""
+        group, leaders, now, both = None, {}, None, []  # leaders: (doc_id, a) -> parts, then the whole set
+        a, b = [], []
+
+        def close() -> None:
+            if now is not None:
+                for (lead, _), other, k in zip(leaders, leaders.values(), both, strict=True):
+                    if linked(now[1], len(other), k, percent):
+                        a.append(now[0])
+                        b.append(lead)
+
         for batch in batches:
-            a, b = [], []
-            for g, follows, doc, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                h = np.frombuffer(data, np.uint64)
+            edge, data = np.frombuffer(batch.column(6).buffers()[1], np.int32)[batch.column(6).offset :] // 8, np.frombuffer(batch.column(6).buffers()[2] or b"", np.uint64)
+            for i, (g, follows, doc, n, own, part) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+                h = data[edge[i] : edge[i + 1]]
                 if g != group:
-                    group, leaders = g, []
+                    close()
+                    group, leaders, now = g, {}, None
                 if not follows:
-                    leaders.append((doc, h))
+                    parts = leaders.setdefault((doc, own), [])
+                    if part == len(parts):  # not the same again: a repeated row
+                        parts.append(h.copy())
+                    continue
+                if now is None or now[0] != doc or now[2] != own:
+                    if now is None:
+                        leaders = {k: np.concatenate(x) for k, x in leaders.items()}
+                    close()
+                    now, both, done = (doc, n, own), [0] * len(leaders), 0
+                if part != done:
                     continue
-                for lead, other in leaders:
-                    if 100 * min(len(h), len(other)) >= percent * max(len(h), len(other)):
+                done += 1
+                for k, other in enumerate(leaders.values()):
+                    if 100 * min(n, len(other)) >= percent * max(n, len(other)):
                         at = np.searchsorted(other, h)
                         at[at == len(other)] = 0
-                        if linked(len(h), len(other), int((other[at] == h).sum()), percent):
-                            a.append(doc)
-                            b.append(lead)
+                        both[k] += int((other[at] == h).sum())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a.clear()
+            b.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    made = texts.join(wanted, "doc_id").select("doc_id", "text", "groups", "leads").mapInArrow(sets, "group bigint, follows boolean, doc_id bigint, n bigint, a bigint, part int, hashes binary")
+    return made.repartition("group").sortWithinPartitions("group", "follows", "doc_id", "a", "part").mapInArrow(verify, "a bigint, b bigint")
 
-    made = texts.join(wanted, "doc_id").select("doc_id", "text", "groups", "leads").mapInArrow(sets, "group bigint, follows boolean, doc_id bigint, hashes binary")
-    return made.repartition("group").sortWithinPartitions("group", "follows").mapInArrow(verify, "a bigint, b bigint")
 
+def _mixed(named: DataFrame) -> DataFrame:
+    """Rows of blocks(key, doc_id, component) with more than one component, with their blocks' sizes."""
+    sizes = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")).where("least != most")
+    return named.join(sizes.select("key", "least", "size"), "key")
 
-def _block_pairs(named: DataFrame) -> DataFrame:
-    """From blocks(key, doc_id, component): of blocks with more than one component, the pairs of different components
-    (kind 0: x, y) if the block is small, else its rows (kind 1: key, x the document, y the component)."""
 
-    names = ["kind", "key", "x", "y"]
+def _block_pairs(mixed: DataFrame) -> DataFrame:
+    """(x, y): the pairs of different components in blocks of SMALL documents at most."""
 
     def list_pairs(key: np.ndarray, doc: np.ndarray, comp: np.ndarray) -> pa.RecordBatch:
         edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
@@ -308,33 +357,28 @@ def _block_pairs(named: DataFrame) -> DataFrame:
                     x.append(np.minimum(p, q))
                     y.append(np.maximum(p, q))
         x, y = np.concatenate(x), np.concatenate(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int32)), pa.nulls(len(x), pa.int64()), pa.array(x), pa.array(y)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3  # the rows of a small block that a batch has cut
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(3)]
-            big = batch.column(3).to_numpy() > SMALL
-            key, doc, comp = (c[big] for c in columns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(doc), pa.array(comp)], names)
-            small = [np.append(h, c[~big]) for h, c in zip(held, columns, strict=True)]
+            small = [np.append(h, batch.column(i).to_numpy()) for i, h in enumerate(held)]
             earlier = np.flatnonzero(small[0] != small[0][-1:])  # not of the last block
             cut = int(earlier[-1]) + 1 if len(earlier) else 0
             held = [c[cut:] for c in small]
             yield list_pairs(*(c[:cut] for c in small))
         yield list_pairs(*held)
 
-    by_key = Window.partitionBy("key")
-    sizes = named.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).withColumn("size", F.count("*").over(by_key))
-    mixed = sizes.where("lo != hi").select("key", "doc_id", "component", "size")
-    return mixed.mapInArrow(pairs, "kind int, key bigint, x bigint, y bigint")
+    small = mixed.where(F.col("size") <= SMALL).select("key", "doc_id", "component")
+    return small.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "x bigint, y bigint")
 
 
 def _tree_candidates(mixed: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y, shared) that the R-trees of blocks(key, doc_id, component) leave, and in how many they do."""
+    """Pairs (x, y, shared) that the R-trees of larger blocks leave, and in how many they do."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((3, 0), np.int64)  # x, y, shared: added up over the task, as one pair meets in many cells
+        release()
+        held, n_held = [np.zeros((3, 0), np.int64)], 0  # x, y, shared: added up over the task, as one pair meets in many cells
 
         def batch_of(rows: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["x", "y", "shared"])
@@ -344,25 +388,26 @@ def _tree_candidates(mixed: DataFrame, vectors: DataFrame, percent: int) -> Data
             doc, comp, n, side, two = (table[c].to_numpy() for c in ("doc_id", "component", "n", "side", "two"))
             vectors = points(table["vector"].to_pylist())
             first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-            x, y = [], []
             for lo, hi in zip(first, np.append(first[1:], len(cells)), strict=True):
-                if hi - lo > 1:
-                    for i, j in tree_pairs(vectors[lo:hi], n[lo:hi], comp[lo:hi], percent, side[lo:hi] if two[lo] else None):
-                        p, q = int(doc[lo + i]), int(doc[lo + j])
-                        x.append(min(p, q))
-                        y.append(max(p, q))
-            found = added_up(np.concatenate([found, np.array([x, y, [1] * len(x)], np.int64)], axis=1))
-            if found.shape[1] > HELD_PAIRS:
-                yield batch_of(found)
-                found = found[:, :0]
-        yield batch_of(found)
-
-    counted = mixed.join(mixed.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("component").alias("least")), "key").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+                for i, j in tree_pairs(vectors[lo:hi], n[lo:hi], comp[lo:hi], percent, side[lo:hi] if two[lo] else None):
+                    p, q = doc[lo + i], doc[lo + j]
+                    held.append(np.stack([np.minimum(p, q), np.maximum(p, q), np.ones(len(p), np.int64)]))
+                    n_held += len(p)
+                    if n_held > HELD_PAIRS:
+                        found = added_up(np.concatenate(held, axis=1))
+                        if found.shape[1] > HELD_PAIRS // 2:
+                            yield batch_of(found)
+                            found = found[:, :0]
+                        held, n_held = [found], found.shape[1]
+        yield batch_of(added_up(np.concatenate(held, axis=1)))
+
+    counted = mixed.where(F.col("size") > SMALL).withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     dealt = counted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = dealt.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "least", "doc_id", "component", "side", (F.col("other") != F.col("side")).alias("two")).distinct()
+    # blocks of one cluster go to as few tasks as can search them, where their pairs are added up before they are shuffled
+    deals = counted.groupBy("least").agg(F.ceil(F.sum("parts") / DEAL_ROWS).alias("deals"))
     # a document meets its own part in the cell (side, side) only, and another part in the cell of both
-    joined = cells.join(vectors.select("doc_id", "n", "vector"), "doc_id").select(F.xxhash64("least", F.pmod("cell", F.lit(SPREAD))).alias("deal"), "cell", "doc_id", "component", "n", "side", "two", "vector")
-    # blocks of one cluster go to a few tasks, where their pairs are added up before they are shuffled
+    joined = cells.join(deals, "least").join(vectors.select("doc_id", "n", "vector"), "doc_id").select(F.xxhash64("least", F.pmod("cell", "deals")).alias("deal"), "cell", "doc_id", "component", "n", "side", "two", "vector")
     return joined.repartition("deal").sortWithinPartitions("cell").mapInArrow(search, "x bigint, y bigint, shared bigint")
 
 
@@ -387,14 +432,15 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     links = scratch.save(_verified(stars, rows, percent, scratch, "star_texts"), "links")
     first = scratch.save(components(links, scratch), "first")
     named = blocks.select("key", "doc_id").join(sized(first), blocks["doc_id"] == first["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = scratch.save(_block_pairs(named), "mixed")
-    scratch.drop("blocks")
-    listed = mixed.where("kind = 0").groupBy("x", "y").agg(F.count("*").alias("shared"))
-    searched = _tree_candidates(mixed.where("kind = 1").select("key", F.col("x").alias("doc_id"), F.col("y").alias("component")), sets, percent)
+    mixed = scratch.save(_mixed(named), "mixed")
+    scratch.drop("blocks", "degree", "star_texts")
+    listed = _block_pairs(mixed).groupBy("x", "y").agg(F.count("*").alias("shared"))
+    searched = _tree_candidates(mixed, sets, percent)
     met = listed.union(searched).groupBy("x", "y").agg(F.sum("shared").alias("shared"))
     known = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     candidates = scratch.save(_bounded(met.join(known, ["x", "y"], "left_anti"), sets, percent), "candidates")
     more = scratch.save(_verified(candidates, rows, percent, scratch, "more_texts"), "more")
+    scratch.drop("mixed", "stars", "candidates", "more_texts")
     least = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "least")
     owned = sets.join(least, ["n", "a", "b"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     # a task sends one of its copies only, not always the least: every node of either pass is joined to its rep
@@ -405,7 +451,10 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
 
 
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, but of each component only that of the least id. Rows with a null id stay."""
+    """The documents, all columns kept, but of each component only the rows of the least id.
+
+    Rows with a null id, and texts that are null, empty or without words, stay; rows that repeat an id stay or go together;
+    an empty table stays empty; ids and texts are read by name, and no other column can clash."""
     gone = jaccard_components(docs, percent, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
     gone = Scratch(docs.sparkSession, "gone").save(gone, "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return keep_rows(docs, F.col(quoted(id_col)), gone, "_gone")
