@@ -57,7 +57,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.canonical_turns(table(spark, sf_dir, "conversations"))
+    return chat.recovery(table(spark, sf_dir, "conversations"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
