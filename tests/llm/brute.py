@@ -73,3 +73,41 @@ def license_base(text: str | None) -> tuple:
                 places.append(i)
                 labels.add(label)
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def held_items(text: str | None, items: dict[int, str], min_run: int = 12, min_share: int = 75) -> set[int]:
+    """Items held by a text: every item laid at every place, words compared one by one."""
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    words, out = split(text), set()
+    for key, item in items.items():
+        own = split(item)
+        for start in range(-len(own) + 1, len(words)):
+            agree = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(own)]
+            best = now = 0
+            for a in agree:
+                now = max(0, now + (1 if a else -2))
+                best = max(best, now)
+            if 100 * sum(agree) >= min_share * len(own) or best >= min(min_run, len(own)):
+                out.add(key)
+    return out
+
+
+def fewest_bins(sizes: list[int], capacity: int) -> int:
+    """The least number of bins, by trying each piece in each open bin."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(i: int, bins: list[int]) -> None:
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] >= sizes[i] and bins[k] not in bins[:k]:
+                bins[k] -= sizes[i]
+                place(i + 1, bins)
+                bins[k] += sizes[i]
+        place(i + 1, [*bins, capacity - sizes[i]])
+
+    place(0, [])
+    return best[0]

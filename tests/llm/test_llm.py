@@ -14,6 +14,7 @@ import brute
 
 from termlog.llm import chat, decontam, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
 from termlog.llm.bpe import Encoder, counter, run_counts, run_ids
+from termlog.llm.common import Scratch
 from termlog.llm.queries import WORD_BPE
 
 RNG = random.Random(11)
@@ -139,14 +140,27 @@ def test_line_dedup(spark, more, empty):
         a, _, b = t.split("\n")
         assert got[i] == (3, 1, f"{a}\n{b}")
     assert all(got[100 + i] == (2, 0, docs[24][1]) for i in range(12))
-    assert got[200] == (1, 0, "Subscribe to our letter") and got[201] == (0, 0, None) and got[202] == (1, 0, "")
+    assert got[200] == (1, 1, "") and got[201] == (0, 0, None) and got[202] == (1, 0, "")
     assert got[203] == (5, 1, "x\n\nlonger than the rest of this text, by far\n")
     assert line_dedup.dedup_lines(more, 2).count() == len(TEXTS) + 2 and line_dedup.dedup_lines(empty).count() == 0
 
 
 def test_exact_recount_near_the_threshold(spark):
     lines = spark.createDataFrame([(h, f"s{k}", h * 100 + k) for h, n in ((1, 9), (2, 10), (3, 11), (4, 40)) for k in range(n)], "hash long, site string, key long")
-    assert sorted(r.hash for r in line_dedup.spread_lines(lines, 10).collect()) == [2, 3, 4]
+    found, salts = line_dedup.spread_lines(lines, 10, Scratch(spark, "test"))
+    assert sorted(r.hash for r in found.collect()) == [2, 3, 4] and salts == 1
+
+
+def test_line_joins_are_salted_by_frequency(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SALT_ROWS", 5)
+    docs = [(i, f"own line {i} {prose(6, random.Random(i)).replace(chr(10), ' ')}\nfooter of all", f"s{i % 12}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert all(n == 1 for (n,) in by_id(line_dedup.dedup_lines(df), "n_removed").values())
+    odd = df.selectExpr("*", "1 as size", "2 as gone", "3 as _key", "4 as key", "5 as `row`", "6 as `a.b`", "cast(7 as long) as n_chars")
+    out = line_dedup.strip_lines(odd)
+    assert out.columns == odd.columns and out.count() == 40
+    assert all(r.n_chars == len(r.text) and "footer" not in r.text and r.size == 1 and r["a.b"] == 6 for r in out.collect())
+    assert line_dedup.strip_lines(odd.limit(0)).count() == 0
 
 
 def test_quality(spark, odd, more, empty):
@@ -193,7 +207,7 @@ def test_tree_bound_loses_no_link():
     sets = [np.unique(rng.integers(0, 1 << 63, 80, np.uint64)) for _ in range(40)]
     sets += [np.unique(np.concatenate([s[: len(s) - 8], rng.integers(0, 1 << 63, 8, np.uint64)])) for s in sets[:20]]
     vectors, sizes = ngram_join.points([ngram_join.point(s) for s in sets]), np.array([len(s) for s in sets])
-    got = {tuple(sorted(p)) for p in ngram_join.tree_pairs(vectors, sizes, np.arange(len(sets)), 75)}
+    got = {tuple(sorted(p)) for i, j in ngram_join.tree_pairs(vectors, sizes, np.arange(len(sets)), 75) for p in zip(i.tolist(), j.tolist(), strict=True)}
     links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if ngram_join.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j])), 75)}
     assert links and links <= got and len(got) < 200
 
@@ -254,7 +268,9 @@ def test_chat(spark):
     said = chat.parse([("system", "You are kind."), (None, "User: what is this?\nHuman: and that?"), (None, "It is a box."), ("user", "and?"), (None, "Assistant: Sure,\nhere it is."), ("user", "thanks")])
     assert [[r for r, _ in t] for t in said] == [["system"], ["user"], ["assistant"], ["user"], ["assistant"], ["user"]]
     assert said[1] == [("user", "what is this?\nand that?")]
-    assert chat.viterbi([("a", "user", True), ("b", None, True), ("c", None, True)], None) == ["user", "assistant", "user"]
+    assert chat.viterbi([("a", "user", None, True), ("b", None, None, True), ("c", None, None, True)], None) == ["user", "assistant", "user"]
+    kept = "Which is right?\nA: red\nB: blue\nQ: none"
+    assert chat.parse([("user", kept), ("assistant", "Answer: 42")]) == [[("user", kept)], [("assistant", "Answer: 42")]]
     rows = [(c, t, [None, "user", "assistant", "human"][t % 4] if c else ["user", "assistant"][t % 2] if t % 3 else None, f"line {t}\n- more") for c in (0, 1) for t in range(600 if c == 0 else 4)]
     rows += [(2, 0, "user", None), (2, 1, None, ""), (None, None, None, "x"), (3, 0, "user", "same"), (3, 0, "user", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("stretch", chat.F.lit(1))
@@ -323,5 +339,146 @@ def test_license_gate_lets_each_rule_through(spark):
     texts = {"Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa-4.0", "Creative Commons Zero 1.0": "cc0-1.0", "GFDL 1.3": "gfdl-1.3", "CPL 1.0": "cpl-1.0", "BSL 1.0": "bsl-1.0", "BUSL 1.1": "busl-1.1", "MIT No Attribution": "mit-0"}
     rows = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "labels")
     assert [rows[i][0] for i in range(len(texts))] == list(texts.values())
-    rule = licenses.Rule(0, "own", "house terms", "house", 1.0)
+    rule = licenses.Rule(0, "own", "house terms", 1.0)
     assert licenses.scan(spark.createDataFrame([(0, "house terms")], "doc_id long, text string"), [rule]).first().labels == "own"
+
+
+def test_license_keywords_are_in_every_match():
+    for r in licenses.rules():
+        assert len(r.keyword) >= 2, r
+        for text in samples(r.pattern):
+            assert r.keyword in f" {text} ", (r.pattern, r.keyword, text)
+    assert len({(r.label, r.pattern) for r in licenses.rules()}) == len(licenses.rules()) > 350
+
+
+def detections(text):
+    """All rules over the normalised text, contained ones and then those of lower priority left out."""
+    import re
+
+    if not re.search(licenses.GATE, (text or "").lower()):
+        return set()
+    norm = " " + " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", brute.ascii_lower(text or ""))) + " "
+    found = {(r.priority, m.start(), m.end(), r.label) for r in licenses.rules() for m in re.finditer(f"(?<= ){r.pattern}(?= )", norm)}
+    outer = [d for d in found if not any(e != d and e[1] <= d[1] and d[2] <= e[2] and ((e[1], e[2]) != (d[1], d[2]) or e[0] < d[0]) for e in found)]
+    taken = []
+    for d in sorted(outer):
+        if not any(d[1] < e[2] and e[1] < d[2] for e in taken):
+            taken.append(d)
+    return {d[3] for d in taken}
+
+
+def test_license_detections_equal_brute_force(spark):
+    rng = random.Random(17)
+    parts = ["gnu", "general public license", "version 2", "v3", "or", "any later", "later", "only", "Apache License", "2.0", "the MIT license", "licensed under the", "CC-BY-SA", "4.0", "cc by", "Creative Commons Attribution", "NonCommercial", "all rights reserved", "public domain", "into the", "BSD 3-clause", "License", "SPDX-License-Identifier:", "mpl 2.0", "word", "copyright (c) 2020", "released under mit", "eclipse public license"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(150)]
+    rows = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "base_labels", "labels")
+    for i, t in enumerate(texts):
+        assert set(filter(None, rows[i][1].split(","))) == detections(t) | set(filter(None, rows[i][0].split(","))), t
+
+
+def test_viterbi_equals_enumeration():
+    """Every path of short stretches, scored one by one."""
+    import itertools
+
+    rng = random.Random(31)
+    texts = ["what is it?", "Sure, here", "{\"a\": 1}", "You are kind.", "plain words", "- item", "", "x" * 401]
+    for _ in range(60):
+        lines = [(rng.choice(texts), rng.choice([None, None, None, "user", "tool"]), rng.choice([None, None, "assistant", "user", "system"]), i == 0 or rng.random() < 0.5) for i in range(rng.randrange(1, 6))]
+        after = rng.choice([None, "user", "assistant"])
+
+        def score(path, lines=lines, after=after):
+            s = chat.START[path[0]] + sum(chat.emission(*x[:3])[r] for x, r in zip(lines, path, strict=True))
+            s += sum(m[a, b] for m, a, b in zip(chat.steps(lines), path, path[1:], strict=False))
+            return s + (chat.BETWEEN[path[-1], chat.ROLES.index(after)] if after else 0)
+
+        best = max(score(p) for p in itertools.product(range(4), repeat=len(lines)))
+        got = [chat.ROLES.index(r) for r in chat.viterbi(lines, after)]
+        assert abs(score(got) - best) < 1e-6
+
+
+def test_split_at_stated_turns_is_exact(spark):
+    """A whole conversation in one stretch gives what its stretches give."""
+    rng = random.Random(12)
+    texts = ["what is it?", "Sure, here it is", "User: and that?\nAssistant: a box", "Answer: 42", "never say no", "plain"]
+    turns = [(rng.choice([None, None, "user", "assistant"]), rng.choice(texts)) for _ in range(60)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = {}
+    for r in sorted(chat.canonical_turns(df).collect(), key=lambda r: (r.turn, r.part)):
+        got.setdefault(r.turn, []).append((r.role, r.text))
+    assert [got[i] for i in range(60)] == chat.parse(turns)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_withheld_roles_are_recovered(spark):
+    rows = chat.recovery(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).collect()
+    assert all(r.role == r.stated for r in rows if not r.withheld)
+    hidden = [r.role == r.stated for r in rows if r.withheld and r.part == 0]
+    assert len(hidden) > 80 and sum(hidden) / len(hidden) > 0.85
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(41)
+    clean = lambda t: t.replace("\n", " ").replace(".", " ").replace(",", " ")
+    items = {i: clean(prose(rng.choice([15, 17, 20, 30]), rng)) for i in range(12)}
+    docs = []
+    for _ in range(80):
+        item = items[rng.randrange(12)].split()
+        for k in rng.sample(range(len(item)), rng.randrange(len(item) // 4 + 1)):
+            item[k] = f"swap{rng.randrange(9)}"
+        cut = item[rng.randrange(3) :][: rng.choice([99, 14, 8])]
+        docs.append(clean(prose(rng.randrange(25), rng)) + " " + " ".join(cut) + " " + clean(prose(rng.randrange(25), rng)))
+    item = items[3].split()
+    docs.append(" ".join(w if k % 4 else "every" for k, w in enumerate(item)))  # each fourth word swapped
+    found = {}
+    for r in decontam.overlaps(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect():
+        found.setdefault(r.doc_id, set()).add(r.item_id)
+    assert [found.get(i, set()) for i in range(len(docs))] == [brute.held_items(t, items) for t in docs]
+
+
+def test_posterior_equals_row_by_row_estimation():
+    """The same estimation over documents one by one, in numpy, instead of over counted patterns."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = np.where(rng.random((400, 8)) < 0.75, 1, rng.integers(-1, 1, (400, 8)))
+    rows[:60, :4] = -1
+    kinds, count = np.unique(rows, axis=0, return_counts=True)
+    prior, tables = quality.estimate([(tuple(int(x) for x in k), int(n)) for k, n in zip(kinds, count, strict=True)], rounds=25)
+    belief = np.where((rows >= 0).all(axis=1), 0.95, 0.1)
+    for _ in range(25):
+        p = min(0.99, max(0.5, belief.mean()))
+        good = np.stack([((rows == v) * belief[:, None]).sum(axis=0) + 1 for v in (-1, 0, 1)]) / (belief.sum() + 3)
+        bad = np.stack([((rows == v) * (1 - belief)[:, None]).sum(axis=0) + 1 for v in (-1, 0, 1)]) / ((1 - belief).sum() + 3)
+        bad[2], good[0] = np.minimum(bad[2], good[2]), np.minimum(good[0], bad[0])
+        ratio = np.log(good / bad)
+        belief = 1 / (1 + np.exp(-(np.log(p / (1 - p)) + ratio[rows + 1, np.arange(8)].sum(axis=1))))
+    assert abs(prior - p) < 1e-9
+    for j in range(8):
+        assert np.allclose([tables[j][v] for v in (-1, 0, 1)], np.stack([good[:, j], bad[:, j]], axis=1))
+
+
+def test_packing_is_near_the_fewest_bins():
+    rng = random.Random(3)
+    for _ in range(60):
+        capacity, sizes = 20, [rng.randrange(1, 21) for _ in range(rng.randrange(1, 11))]
+        plan = packing.plan_bins({x: sizes.count(x) for x in sizes}, capacity)
+        used = [n for times, c in plan for _ in range(times) for n, k in c for _ in range(k)]
+        assert sorted(used) == sorted(sizes)
+        assert sum(times for times, _ in plan) <= brute.fewest_bins(sizes, capacity) + 1
+
+
+def test_language_answers_do_not_depend_on_neighbours(spark):
+    rng, langs = random.Random(8), "abcde"
+    word = {x: [x + rng.choice("mnrs") + y for y in ("oka", "ipe", "uta")] for x in langs}
+    text = lambda mix: " ".join(rng.choice(word[rng.choice(mix)]) for _ in range(60))
+    train = spark.createDataFrame([(i, text(x), x) for i, x in enumerate(langs * 8)], "doc_id long, text string, lang string")
+    model = langid.fit(train)
+    mixed = [text(m) for m in ("a", "ab", "abc", "abcd", "abcde", "e", "de") for _ in range(3)]
+    together = langid.predict(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string").coalesce(1), model)
+    alone = langid.mixtures
+    got = by_id(together, "langs")
+    import pyarrow as pa
+
+    for i, t in enumerate(mixed):
+        pi = alone(*langid._words(*langid._joined(pa.array([t])), model), 1, 8, 1.0)[0]
+        assert got[i][0] == ",".join(f"{model.langs[j]}:{pi[j]:.3f}" for j in sorted(range(5), key=lambda j: -pi[j]) if pi[j] >= 0.0005)
