@@ -54,7 +54,8 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Whether a document is held out of learning; one without an id isn't."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_langs: int = 128) -> Model:
@@ -202,7 +203,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.34, id_col: str =
 
     A null or empty text is rejected, as is any text if the model has no language; repeated rows are judged alike; an empty
     table stays empty; only the text is read, and no other column can clash. No shuffle, no join."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -210,9 +211,10 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.34, id_col: str =
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                texts = batch.column(batch.schema.get_field_index(text_col))
+                texts = batch.column(at_text)
                 letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False)
                 share = mixtures(*_words(*_joined(texts), model), len(texts), 8, 1.0).max(axis=1) if model.langs else np.zeros(len(texts))
                 yield batch.filter(pc.and_(letters, pa.array(share >= least)))
 
-    return docs.mapInArrow(choose, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots can't pass
+    return plain.mapInArrow(choose, plain.schema).toDF(*docs.columns)

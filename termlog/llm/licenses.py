@@ -211,7 +211,8 @@ def scan(docs: DataFrame, own: list[Rule] | None = None, id_col: str = "doc_id",
 
     score is the confidence of the best detection that stands, or of the base phrases (0.8), or 0. A null or empty text
     has no words and no labels ('' for both); null ids and repeated rows stay; an empty table gives no rows; other
-    columns are not read. Detections are gathered per text only, and only for texts that any keyword lets through.
+    columns are not read. A text that passes the gate is held as its normalised form and an array of its words, about 60
+    bytes a word. Detections are gathered per text only, and only for texts that any keyword lets through.
     """
     spark = docs.sparkSession
     rows = slim(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))

@@ -419,6 +419,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     sequence is its one shingle; rows with a null id have no links and a null component; rows that repeat an id are one
     node; an empty table gives no rows; other columns are not read.
 
+    Texts are hashed a megabyte at a time; a set is 8 bytes a word, held whole for a block's leader only.
+
     Copies of one set are found by its 128-bit hash and joined to the least of them. Nothing about all documents reaches
     the driver but 2**18 bucket sums.
     """

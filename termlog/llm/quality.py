@@ -92,8 +92,9 @@ def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
     quality (posterior of good) and a vote for each rule.
 
     A null or empty text has no words and fails the base; where no rule can vote, all abstain. Null ids and repeated
-    rows stay and count each; an empty table gives no rows; other columns are not read. All work on a text is within its
-    row, so no group is ever gathered; rows of counts are written once to the shared folder.
+    rows stay and count each; an empty table gives no rows; other columns are not read. A text's words, windows and lines
+    are arrays in its row, about 80 bytes a word, so that much memory is needed for the longest text. All work on a text is
+    within its row, so no group is ever gathered; rows of counts are written once to the shared folder.
     """
     names = [f"vote_{name}" for name, *_ in RULES]
     counts = Scratch(docs.sparkSession, "quality").save(measures(docs, id_col, text_col), "measures").select("*", *votes())

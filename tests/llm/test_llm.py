@@ -482,3 +482,18 @@ def test_language_answers_do_not_depend_on_neighbours(spark):
     for i, t in enumerate(mixed):
         pi = alone(*langid._words(*langid._joined(pa.array([t])), model), 1, 8, 1.0)[0]
         assert got[i][0] == ",".join(f"{model.langs[j]}:{pi[j]:.3f}" for j in sorted(range(5), key=lambda j: -pi[j]) if pi[j] >= 0.0005)
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Every stage's function carries columns with the names that it uses itself."""
+    rng = random.Random(2)
+    texts = [prose(40, rng) for _ in range(6)]
+    names = ["key", "gone", "row", "_gone", "_held", "size", "n", "words", "component_id", "stripped", "a.b", "item_id", "lang_pred"]
+    rows = [(i, t, "en", "s", 1, *range(len(names))) for i, t in enumerate([*texts, texts[0], None, ""])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n}` int" for n in names)]))
+    bench = spark.createDataFrame([(0, texts[1])], "item_id long, text string")
+    kept = {"language": langid.keep_known(docs, langid.fit(docs)), "lines": line_dedup.strip_lines(docs), "copies": ngram_join.keep_one(docs), "leaks": decontam.decontaminate(docs, bench)}
+    gone = {"language": {7, 8}, "lines": set(), "copies": {6}, "leaks": {1}}
+    for name, out in kept.items():
+        assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == set(range(9)) - gone[name], name
+        assert all(list(r)[5:] == list(range(len(names))) for r in out.collect()), name
