@@ -15,6 +15,10 @@ from .compile import WHOLE, Body
 from .store import Store
 
 
+#: Parts of a relation beyond which they are written as one.
+MOST_PARTS = 32
+
+
 class DivergenceError(RuntimeError):
     pass
 
@@ -126,6 +130,8 @@ def loop(out: Relations, stratum: Stratum, full: dict[str, list[str]], delta: di
         for name, path in now.items():
             full.setdefault(name, []).append(path)
             added.setdefault(name, []).append(path)
+            if len(full[name]) > MOST_PARTS:  # long chains of small rounds are written as one part now and then
+                full[name] = [store.write(store.read(schemas[name], *full[name]))]
         if not now:
             for name in stratum.relations:
                 if full.get(name):

@@ -20,13 +20,12 @@ from ..lang.ast import Lit, Term
 from ..lang.parser import parse_term
 from ..modules import Domain, Engine, Result, conform
 from ..plans.analyze import Stratum, strata, uses
-from ..plans.fixpoint import Relations, loop, members, run_rule, run_stratum
+from ..plans.fixpoint import MOST_PARTS, Relations, loop, members, run_rule, run_stratum
 from ..plans.store import Store
 from ..sources.commands import Command, parse_commands
 
 
-#: Parts of a relation beyond which they are written as one, and rows of an update up to which it is broadcast.
-MOST_PARTS = 32
+#: Rows of an update up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 
 
