@@ -22,7 +22,9 @@ def attach(session: Session, stream: DataFrame, relation: str, checkpoint: str,
         df = df.persist()
         session.begin()
         if weight in df.columns:
-            session.delete(relation, df.where(f"`{weight}` < 0").select(*columns))
+            gone = df.where(f"`{weight}` < 0").select(*columns)
+            if not gone.isEmpty():  # insertions alone are appended
+                session.delete(relation, gone)
             session.insert(relation, df.where(f"`{weight}` > 0").select(*columns))
         else:
             session.insert(relation, df)
