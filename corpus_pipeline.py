@@ -14,12 +14,12 @@ from termlog.llm.queries import WORD_BPE, language_model, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or without a main language."""
+    """Rejects documents without a letter, and mixtures in which no learned language has over a third of the words."""
     return langid.keep_known(docs, language_model(docs))
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that stand on many sites; every document stays."""
+    """Removes lines that stand on many sites among other content; every document stays."""
     return line_dedup.strip_lines(docs)
 
 
