@@ -26,7 +26,7 @@ from .hashing import STEP, mix, powers
 
 PIECE = 64
 COVER = 16
-#: Text of one bucket, in bytes, that one task sorts at a time; distances from the anchor are split beyond it.
+#: Text of one bucket, in bytes, that one task sorts at a time; beyond it, a bucket is split by distance and content.
 BUCKET_BYTES = 8 << 20
 _RANDOM = np.random.default_rng(7_400_001)
 _BYTE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
@@ -81,8 +81,8 @@ def anchors(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def content_hash(part: np.ndarray) -> tuple[int, int]:
-    d = hashlib.blake2b(part.tobytes(), digest_size=16).digest()
+def content_hash(part: np.ndarray | bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(part if isinstance(part, bytes) else part.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
@@ -179,13 +179,15 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
 
     The first pass writes, for each run of starts that share a minimizer (about one for every 170 bytes), its hash and a
     128-bit hash of its context. Equal contexts are counted by aggregation, so a group of copies of any size is one row
-    in its bucket. Only documents with a repeated minimizer are carried on.
+    in its bucket. Only documents with a repeated minimizer are carried on. A bucket of over BUCKET_BYTES is split into
+    cells of strings that agree in all but 15 bytes, so that a passage that a third of all documents hold, each time
+    among other words, isn't one task's; joins on hot buckets are left to the adaptive skew join.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    # rows are told by content and id, so that repeated ids do no harm
+    # rows are told by 128 bits of content and id, so that repeated ids do no harm
     rows = slim(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = F.xxhash64("doc_id", "text")
+    key = F.unhex(F.md5(F.concat_ws("\0", F.col("doc_id").cast("string"), F.col("text"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +199,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
                 for lo in range(0, len(h), 1 << 16):
                     part = slice(lo, lo + (1 << 16))
                     hashes = [content_hash(data[f : e + width]) for f, e in zip(first[part], last[part], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), row_key, np.int64)), pa.array(h[part].view(np.int64)), pa.array(at[part] - first[part]), pa.array(first[part]), pa.array(last[part]), *(pa.array(list(x), pa.int64()) for x in zip(*hashes, strict=True))], ["key", "bucket", "anchor", "first", "last", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row_key] * len(hashes), pa.binary()), pa.array(h[part].view(np.int64)), pa.array(at[part] - first[part]), pa.array(first[part]), pa.array(last[part]), *(pa.array(list(x), pa.int64()) for x in zip(*hashes, strict=True))], ["key", "bucket", "anchor", "first", "last", "a", "b"])
 
     def joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Many small batches make the transfer slow: they are put together up to 64 Ki rows."""
@@ -212,7 +214,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    found = scratch.save(rows.select(key.alias("key"), "text").mapInArrow(joined_batches, "key bigint, bucket bigint, anchor bigint, first bigint, last bigint, a bigint, b bigint"), "found")
+    found = scratch.save(rows.select(key.alias("key"), "text").mapInArrow(joined_batches, "key binary, bucket bigint, anchor bigint, first bigint, last bigint, a bigint, b bigint"), "found")
     contexts = found.groupBy("bucket", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("key", "anchor", "first", "last")).alias("one"))
     by_bucket = contexts.groupBy("bucket").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum(F.col("one.last") - F.col("one.first") + width).alias("bytes")).where(F.col("all") > 1)
     shared = scratch.save(contexts.join(by_bucket, "bucket").select("bucket", "a", "b", "n", "one", "kinds", "bytes"), "shared")
@@ -222,23 +224,26 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     several = shared.where("kinds > 1").groupBy("one.key").agg(F.collect_list(F.struct("bucket", "a", "b", "n", "one.anchor", "one.first", "one.last", "bytes")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "bucket", "a", "b", "n", "anchor", "first", "context"]
+        names = ["part", "common", "bucket", "a", "b", "n", "anchor", "first", "context"]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 7 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 8 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names)
 
         for batch in batches:
             out: list[tuple] = []
             for text, cuts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 data = text.as_py().encode()
                 for c in cuts:
-                    # a bucket of more text than a task sorts at a time is split by distance from the anchor, all its contexts alike
-                    share = 1 << 30 if c["bytes"] <= BUCKET_BYTES else 16
-                    lo = c["first"]
+                    # a bucket of more text than a task sorts at a time is split, all its contexts alike, by distance from the
+                    # anchor and by the hash of what all strings of like distances have in common
+                    share = 1 << 30 if c["bytes"] <= BUCKET_BYTES else COVER
+                    lo, place = c["first"], c["first"] + c["anchor"]
                     while lo <= c["last"]:
                         distance = c["anchor"] - (lo - c["first"])
                         hi = min(c["last"], lo + distance % share)
-                        out.append((distance // share, c["bucket"], c["a"], c["b"], c["n"], distance, lo - c["first"], data[lo : hi + width]))
+                        own = place - distance // share * share
+                        common = content_hash(data[own : own + width - share + 1])[0] if share == COVER else 0
+                        out.append((distance // share, common, c["bucket"], c["a"], c["b"], c["n"], distance, lo - c["first"], data[lo : hi + width]))
                         lo = hi + 1
                 if len(out) >= 2048:
                     yield batch_of(out)
@@ -271,7 +276,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], kind)], ["bucket", "a", "b", "runs"])
 
-    cells = suspects.join(several, "key").select("text", "cuts").mapInArrow(cut, "part bigint, bucket bigint, a bigint, b bigint, n bigint, anchor bigint, first bigint, context binary").withColumn("cell", F.xxhash64("bucket", "part"))
+    cells = suspects.join(several, "key").select("text", "cuts").mapInArrow(cut, "part bigint, common bigint, bucket bigint, a bigint, b bigint, n bigint, anchor bigint, first bigint, context binary").withColumn("cell", F.xxhash64("bucket", "part", "common"))
     sorted_runs = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(sort, "bucket bigint, a bigint, b bigint, runs array<struct<lo:bigint,hi:bigint>>")
     repeats = scratch.save(alone.union(sorted_runs), "repeats")
     spans = found.join(repeats, ["bucket", "a", "b"]).select("key", F.transform("runs", lambda r: F.struct((F.col("first") + r["lo"]).alias("lo"), (F.col("first") + r["hi"] + width).alias("hi"))).alias("spans"))
@@ -293,10 +298,10 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
                         at = hi
                 rest = b"".join(kept) + data[at:]
                 out.append((row_key, removed, n, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], ["key", "removed", "spans", "sha", "rest"])
 
-    changed = suspects.join(by_row, "key").select("key", "text", "spans").mapInArrow(cut_out, "key bigint, removed bigint, spans bigint, sha string, rest binary").dropDuplicates(["key"])
+    changed = suspects.join(by_row, "key").select("key", "text", "spans").mapInArrow(cut_out, "key binary, removed bigint, spans bigint, sha string, rest binary").dropDuplicates(["key"])
     data = F.col("text").cast("binary")
     own = rows.select(key.alias("key"), "doc_id", F.octet_length(data).cast("bigint").alias("n_bytes"), F.sha2(data, 256).alias("whole"), *[data.alias("data")] * with_text)
     none = F.lit(0).cast("bigint")
