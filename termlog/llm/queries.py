@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
+from . import chat, decontam, langid, licenses, line_dedup, ngram_join, packing, passages, quality, suffix_dedup, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,7 +49,13 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    """The contract's columns, and n_shared_windows: over 0 where a text shares a run of over 50 words with another, which
+    may be shorter than 400 bytes and then isn't removed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shared = passages.shared_passages(docs.select(F.xxhash64("doc_id", "text").alias("id"), "text"))
+    removed = suffix_dedup.remove_repeats(docs)
+    of = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("id")).join(shared, "id").groupBy("doc_id").agg(F.max("n_shared_windows").alias("n_shared_windows"))
+    return removed.join(of, "doc_id", "left").withColumn("n_shared_windows", F.coalesce("n_shared_windows", F.lit(0).cast("bigint")))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

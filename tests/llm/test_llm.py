@@ -12,7 +12,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from termlog.llm import chat, decontam, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
+from termlog.llm import chat, decontam, langid, licenses, line_dedup, ngram_join, packing, passages, quality, suffix_dedup, token_counts
 from termlog.llm.bpe import Encoder, counter, run_counts, run_ids
 from termlog.llm.common import Scratch
 from termlog.llm.queries import WORD_BPE
@@ -497,3 +497,25 @@ def test_stages_keep_clashing_columns(spark):
     for name, out in kept.items():
         assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == set(range(9)) - gone[name], name
         assert all(list(r)[5:] == list(range(len(names))) for r in out.collect()), name
+
+
+def test_shared_passages(spark, odd, empty, monkeypatch):
+    """Every shared run of over 50 words is found, and none where no window's length of words is shared."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    run = lambda n: [word() for _ in range(n)]
+    texts, want = [], []
+    for n in (51, 52, 55, 60, 75, 200, 34, 20, 5):
+        own = run(n)
+        for _ in range(2):
+            texts.append(" ".join([*run(rng.randrange(90)), *own, *run(rng.randrange(90))]))
+            want.append(n > 50)
+    alone = run(60)
+    texts += [" ".join([*alone, *alone]), " ".join(run(300)), "", None, " ".join(run(50))]
+    want += [False] * 5
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    for held in (passages.HELD, 100):
+        monkeypatch.setattr(passages, "HELD", held)
+        found = {r.id: r.n_shared_windows for r in passages.shared_passages(df).collect()}
+        assert [i in found for i in range(len(texts))] == want and all(n > 0 for n in found.values())
+    assert passages.shared_passages(empty.selectExpr("doc_id as id", "text")).count() == 0
