@@ -32,7 +32,7 @@ PART = 2048
 #: Rows of (doc_id, a few numbers) up to which a table is broadcast; beyond, its join shuffles.
 BROADCAST_ROWS = 200_000
 #: Rows of one cluster's blocks that a task searches, and pairs that it adds up before it sends them on.
-DEAL_ROWS = 2048
+DEAL_ROWS = 16384
 HELD_PAIRS = 1 << 19
 #: A shingle whose bucket holds so many times the mean is hot: its documents are dealt over so many tasks.
 HOT = 16
