@@ -20,6 +20,8 @@ from .common import keep
 
 #: Bytes of texts that are cut into chunks at a time.
 RUN_BYTES = 1 << 23
+#: Chunks whose ids are put together at a time.
+GATHERED = 1 << 18
 #: Words up to the last of these many bytes are merged together, with those of like length.
 LOCKSTEP = (8, 16, 32)
 #: Letters whose lower case and composed form are one letter each, then punctuation: most chunks are of this kind.
@@ -264,8 +266,13 @@ def run_counts(texts: pa.Array, cache: Cache) -> np.ndarray:
 
 def run_ids(texts: pa.Array, encoder: Encoder) -> Iterator[np.ndarray]:
     """Ids of each text in turn, as little-endian unsigned 32-bit integers."""
-    for bounds, codes, chunks in chunk_runs(texts, 4 * RUN_BYTES):
-        size, ids = gather(*encoder.of(chunks), codes)
-        ends = np.concatenate([[0], np.cumsum(size)])[bounds]
-        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-            yield ids[lo:hi]
+    for bounds, codes, chunks in chunk_runs(texts, 2 * RUN_BYTES):
+        n, flat = encoder.of(chunks)
+        row = 0
+        while row < len(bounds) - 1:  # the ids of some rows at a time, as they are larger than the texts
+            last = max(row + 1, int(np.searchsorted(bounds, bounds[row] + GATHERED, side="right")) - 1)
+            size, ids = gather(n, flat, codes[bounds[row] : bounds[last]])
+            ends = np.concatenate([[0], np.cumsum(size)])[bounds[row : last + 1] - bounds[row]]
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                yield ids[lo:hi]
+            row = last
